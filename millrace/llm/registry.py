@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import media, packing, simhash
+from . import langid, media, mixing, packing, simhash, substrings, vptree
 
-MODULES = (simhash, media, packing)
+MODULES = (simhash, vptree, substrings, media, mixing, packing, langid)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
