@@ -3,7 +3,7 @@
 A document's features are its distinct words and their leading letters (5, 6 and 7), hashed. One
 weight vector is shared by all thresholds: P(grade <= k) = sigmoid(threshold_k - score), with the
 thresholds in ascending order. It is fitted on the driver by proximal gradient steps with an L1
-penalty, from a bounded sample of labelled rows (`sample_rows`) whose features are made on the
+penalty and weights of zero or more (no clean word makes up for a toxic one), from a bounded sample of labelled rows (`sample_rows`) whose features are made on the
 executors. The score is a sum over distinct words, so prediction is one pass over whole texts.
 """
 
@@ -26,8 +26,10 @@ SAMPLE_ROWS = 6000  # bound of the rows that the fit reads
 BITS = 22
 LEADING = (5, 6, 7)
 LEAST_ROWS = 4  # sample rows that a feature must occur in
-PENALTY = 4e-4
-ROUNDS = 400
+DEVIATIONS = 6.0  # standard deviations above chance that a feature must go with higher grades
+PENALTY = 1e-4
+ROUNDS = 1000
+FLAG = 0.2  # least P(grade > 0) of a document that is called toxic
 SEED = 13
 CACHED_WORDS = 500_000
 
@@ -64,7 +66,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS, least_rows: int = LEAST_ROWS) -> SeverityModel:
+def fit_ordinal(
+    rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS, least_rows: int = LEAST_ROWS,
+    deviations: float = DEVIATIONS,
+) -> SeverityModel:
     """Cumulative-link regression on rows of feature numbers (repeats count) with grades 0..K."""
     k = int(grades.max()) if len(grades) else 0
     if k == 0:
@@ -73,12 +78,15 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray,
     pairs, times = np.unique(row.astype(np.int64) << 32 | flat, return_counts=True)
     row, feature = pairs >> 32, pairs & 0xFFFFFFFF
     names, col, spread = np.unique(feature, return_inverse=True, return_counts=True)
-    keep = (spread >= least_rows)[col]
+    # Weights stay at zero or above, and only features that go with higher grades beyond chance take part.
+    base = (grades > 0).mean()
+    excess = np.bincount(col, (grades > 0)[row]) - spread * base
+    keep = ((spread >= least_rows) & (excess > deviations * np.sqrt(spread * base * (1 - base))))[col]
     row, col, value = row[keep], col[keep], times[keep].astype(np.float64)
     names, col = names[np.unique(col)], np.unique(col, return_inverse=True)[1]
     n, m = len(rows), len(names)
     weight = weight / weight.sum()
-    scale = 1 / np.sqrt(np.bincount(col, weight[row] * value**2, m) * n / 20 + 1)  # frequent features move less
+    scale = 1 / np.sqrt(np.bincount(col, weight[row] * value**2, m))  # features of unit second moment
     value = value * scale[col]
     x = lambda w: np.bincount(row, value * w[col], n)
     xt = lambda r: np.bincount(col, value * r[row], m)
@@ -103,8 +111,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray,
         np.add.at(push, grades + 1, -weight * a * (1 - a) / p)
         np.add.at(push, grades, weight * b * (1 - b) / p)
         thresholds = np.maximum.accumulate(thresholds - 2.0 * push[1:-1] - gap) + gap  # in ascending order, a little apart
-        new = ahead - step * xt(slope)
-        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
+        new = np.maximum(ahead - step * (xt(slope) + penalty), 0)
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead, w = new + (old - 1) / t * (new - w), new
     used = np.flatnonzero(w)
@@ -112,9 +119,9 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray,
 
 
 def grade_toxic(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 of 0/1 labels: a toxic row is severe if telling features make up more of it than in the median toxic row.
+    """Grades 0, 1, 2 of 0/1 labels: a toxic row is severe if it holds more telling features than the median toxic row.
 
-    Telling: in LEAST_ROWS rows or more, at least nineteen of twenty of them toxic.
+    Telling: in 4 * LEAST_ROWS rows or more, at least nineteen of twenty of them toxic.
     """
     toxic = toxic.astype(np.int64)
     if not toxic.any():
@@ -124,10 +131,10 @@ def grade_toxic(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     names, col = np.unique(flat, return_inverse=True)
     rows_with = np.bincount(col)
     toxic_with = np.bincount(col, np.repeat(toxic, [len(r) for r in own]))
-    telling = (rows_with >= LEAST_ROWS) & (toxic_with >= 0.95 * rows_with)
+    telling = (rows_with >= 4 * LEAST_ROWS) & (toxic_with >= 0.95 * rows_with)
     at = np.repeat(np.arange(len(own)), [len(r) for r in own])
-    density = np.bincount(at, telling[col], len(own)) / np.maximum(1, np.bincount(at, minlength=len(own)))
-    return toxic + (toxic & (density > np.median(density[toxic == 1])))
+    found = np.bincount(at, telling[col], len(own))
+    return toxic + (toxic & (found > np.median(found[toxic == 1])))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +182,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: SeverityModel) -> Iterato
         above = model.above(np.array(scores, dtype=np.float64).reshape(-1))
         grade = (above >= 0.5).sum(1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)],
+            [batch.column(0), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0] >= FLAG)],
             names=["doc_id", "p_toxic", "expected_severity", "severity", "toxic"],
         )
 
@@ -183,6 +190,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: SeverityModel) -> Iterato
 def predict_toxicity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, p_toxic, expected_severity, severity, toxic) of every row of `docs`.
 
+    severity is the grade whose thresholds the document more likely passes, toxic is P(grade > 0) >= FLAG.
     expected_severity is the sum over thresholds of P(grade above it). Null and empty texts score as
     texts without any word; null ids stay null; repeated rows give repeated results; other columns
     are ignored; an empty table gives no rows.
