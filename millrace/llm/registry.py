@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, packing, simhash, substrings, toxicity, vptree
+from . import langid, licenses, media, mixing, packing, simhash, substrings, toxicity, vptree
 
-MODULES = (simhash, toxicity, vptree, substrings, media, mixing, packing, langid)
+MODULES = (simhash, toxicity, vptree, substrings, media, mixing, licenses, packing, langid)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
