@@ -11,13 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder that the session names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and written stages: `spark.checkpoint.dir` where it is set.
 
-    Only where `spark.checkpoint.dir` is unset (local runs, tests) a temporary folder is taken.
+    Only where it is unset (local runs, tests) a temporary folder is taken.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -99,9 +99,9 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix_sources(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED,
+    weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, kept_prefix: str = "",
 ) -> DataFrame:
-    """The columns `keep` of every row of `docs` with size, source_size, target and taken.
+    """The columns `keep` of every row of `docs` (their names after `kept_prefix`) with size, source_size, target and taken.
 
     A document's size is its number of words (runs of other than white space); null texts have 0. Null is
     a source of its own, after all others. `taken` is a whole multiple of the size. Rows with the
@@ -132,7 +132,7 @@ def mix_sources(
     place_in_bucket = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw"))
     ranked = rows.drop("place").withColumn("nth", place_in_bucket).join(share, ["key", "size", "bucket"])
     taken = F.col("size") * (F.col("passes") + (F.col("nth") <= F.col("extra")).cast("long"))
-    return ranked.select(*[F.col(f"_kept_{c}").alias(c) for c in keep], "size", "source_size", "target", taken.alias("taken"))
+    return ranked.select(*[F.col(f"_kept_{c}").alias(kept_prefix + c) for c in keep], "size", "source_size", "target", taken.alias("taken"))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

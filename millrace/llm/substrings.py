@@ -33,6 +33,10 @@ GRAM = 32
 PIECE = 1 << 22  # window starts whose anchors are found at a time
 GROUP = 8192  # segments of one anchor in a group, about
 BATCH_BYTES = 8 << 20
+#: Ranges r, in order, with those that overlap or touch made one.
+_MERGED = """aggregate(r, slice(r, 1, 0), (done, x) -> if(size(done) > 0 AND x.a <= element_at(done, -1).b,
+  concat(slice(done, 1, size(done) - 1), array(named_struct('a', element_at(done, -1).a, 'b', greatest(element_at(done, -1).b, x.b)))),
+  concat(done, array(x))))"""
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2**64
 
@@ -165,7 +169,9 @@ class Suffixes:
             return x
         _, group = np.unique(group, return_inverse=True)
         size = np.bincount(group)
-        x = self.mergesort(x, np.repeat(np.cumsum(size) - size, size), np.repeat(size, size))
+        many = np.repeat(size > 2, size)  # two neighbours need no order
+        own = size[size > 2]
+        x[many] = self.mergesort(x[many], np.repeat(np.cumsum(own) - own, own), np.repeat(own, own))
         near = (group[1:] == group[:-1]) & (self.common(x[1:], x[:-1]) == self.width)
         at = np.flatnonzero(near)
         for i in range(0, len(at), 4096):  # the bytes decide, not the hashes
@@ -355,9 +361,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         places = plain.mapInArrow(partial(_segments, width=width, with_bytes=False), shape).select("h", "g1", "g2", "k1", "k2", "s")
         ordered = segments.repartition(parts, "h", "sub").sortWithinPartitions("h", "sub")
         covered = ordered.mapInArrow(partial(_covered, width=width), "h long, g1 long, g2 long, a long, b long")
-        covered = durable(covered)
-        ranges = places.join(covered, ["h", "g1", "g2"]).select("k1", "k2", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b")).alias("r"))
-        ranges = ranges.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
+        # One row a segment, its ranges merged, so that the join below keeps one row a place.
+        covered = durable(covered.groupBy("h", "g1", "g2").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("r")).withColumn("r", F.expr(_MERGED)))
+        shifted = F.transform("r", lambda r: F.struct((F.col("s") + r["a"]).alias("a"), (F.col("s") + r["b"]).alias("b")))
+        ranges = places.join(covered, ["h", "g1", "g2"]).select("k1", "k2", shifted.alias("r"))
+        ranges = ranges.groupBy("k1", "k2").agg(F.flatten(F.collect_list("r")).alias("ranges"))
         left = ranges.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).mapInArrow(
             _kept, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:long,b:long>>"
         )
