@@ -1,0 +1 @@
+"""Column helpers: JSON cells, names, text, calendar, network addresses, secrets."""

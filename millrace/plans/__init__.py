@@ -1,0 +1 @@
+"""Named queries over the given tables and the SQL each must agree with."""

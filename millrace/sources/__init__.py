@@ -1,0 +1 @@
+"""Readers: tables, JSON documents, JSON Lines, repository files and pages."""
