@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import tables
+from .plans import inventory, tables
 
-MODULES = (tables,)
+MODULES = (tables, inventory)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

@@ -37,11 +37,11 @@ def doc_summary(spark, sf):
 
 
 def filter_range(spark, sf):
-    return ops.filter_rows(table(spark, sf, "part"), {"p_size": "10..20", "p_retailprice": ">=1000"}).select("p_partkey", "p_size")
+    return ops.filter_rows(table(spark, sf, "part"), {"p_size": "10..20", "p_retailprice": ">=950"}).select("p_partkey", "p_size")
 
 
 def filter_contains(spark, sf):
-    return ops.filter_rows(table(spark, sf, "part"), {"p_type": "BRASS", "p_brand": "!=Brand#11"}).select("p_partkey", "p_type")
+    return ops.filter_rows(table(spark, sf, "part"), {"p_type": "ECON", "p_brand": "!=Brand#11"}).select("p_partkey", "p_type")
 
 
 def filter_empty(spark, sf):
@@ -253,8 +253,8 @@ ORACLE = {
       u AS (SELECT 'l_linestatus' AS field, l_linestatus AS value, seen FROM r UNION ALL SELECT 'o_orderpriority', o_orderpriority, seen FROM r),
       c AS (SELECT field, value, count(*) AS n, min(seen) AS first FROM u GROUP BY ALL)
       SELECT field, value, n, CAST(sum(n) OVER (PARTITION BY field) AS BIGINT) AS total, CAST(row_number() OVER (PARTITION BY field ORDER BY n DESC, first) AS INT) AS rank FROM c""",
-    "filter_range": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice >= 1000",
-    "filter_contains": "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%brass%' AND lower(p_brand) <> 'brand#11'",
+    "filter_range": "SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice >= 950",
+    "filter_contains": "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%econ%' AND lower(p_brand) <> 'brand#11'",
     "filter_empty": "SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN 'filled' ELSE 'empty' END AS kind FROM part",
     "text_match": r"SELECT doc_id, text ILIKE '%license%' AS plain, contains(text, 'License') AS \"case\", regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])') AS word, regexp_matches(text, '\d{3}-\d{4}') AS regex FROM documents".replace('\\"', '"'),
     "multi_sort_page": """SELECT l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'A') AS total, (SELECT count(*) FROM lineitem) AS unfiltered
