@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import inventory, tables
+from .plans import analysis, inventory, streams, tables
 
-MODULES = (tables, inventory)
+MODULES = (tables, inventory, analysis, streams)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

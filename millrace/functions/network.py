@@ -40,7 +40,7 @@ def prefix_length(cidr: Column) -> Column:
 
 
 def block_size(cidr: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), F.lit(32) - prefix_length(cidr))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - prefix_length(cidr))
 
 
 def cidr_contains(cidr: Column, ip: Column) -> Column:

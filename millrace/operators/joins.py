@@ -68,18 +68,18 @@ def join_cidr(ips: DataFrame, cidrs: DataFrame, ip: str, cidr: str, bucket_bits:
 
 
 def longest_prefix(routes: DataFrame, ips: DataFrame, ip: str, cidr: str, table: str | None = None) -> DataFrame:
-    """Every address with the containing route of the largest prefix; of one table only, if `table` names a common column (F8).
+    """Every different address with the containing route of the largest prefix; for each route table, if `table` names its column; only the address's own one, if the addresses have it too (F8).
 
     One equi-join for each prefix length that the routes can have (0 to 32): an address has just one
     network of each length, so no address meets a route that does not hold it.
     """
-    own = [table] if table else []
+    own = [table] if table and table in ips.columns else []
     lengths = F.array(*[F.lit(n) for n in range(33)])
     r = routes.withColumns({"_len": prefix_length(F.col(cidr)), "_net": cidr_low(F.col(cidr))})
     a = ips.withColumn("_ip", ip_number(F.col(ip))).withColumn("_len", F.explode(lengths))
-    a = a.withColumn("_net", F.col("_ip") - F.pmod(F.col("_ip"), F.shiftleft(F.lit(1).cast("long"), 32 - F.col("_len"))))
+    a = a.withColumn("_net", F.col("_ip") - F.pmod(F.col("_ip"), F.call_function("shiftleft", F.lit(1).cast("long"), 32 - F.col("_len"))))
     met = a.join(r, ["_len", "_net", *own])
-    best = F.row_number().over(Window.partitionBy(ip, *own).orderBy(F.desc("_len"), cidr))
+    best = F.row_number().over(Window.partitionBy(ip, *([table] if table else [])).orderBy(F.desc("_len"), cidr))
     return met.withColumn("_p", best).where("_p = 1").withColumn("prefix", F.col("_len")).drop("_p", "_len", "_net", "_ip")
 
 

@@ -81,19 +81,18 @@ def follow_routes(starts: DataFrame, routes: DataFrame, depth: int = 6) -> DataF
     starts: start, ip, table; routes: table, cidr, target. A target that is itself a table's name
     is followed; a table met twice, or more than `depth` hops, ends as UNKNOWN; no route is `none`.
     """
-    open_ = starts.select("start", "ip", "table", F.array("table").alias("hops"))
-    tables = routes.select(F.col("table").alias("_t")).distinct()
-    out = None
+    best = longest_prefix(routes, starts.select("ip").distinct(), "ip", "cidr", "table").select("ip", "table", "target")
+    known = routes.select(F.col("table").alias("target"), F.lit(True).alias("_known")).distinct()
+    step = best.join(known, "target", "left")
+    at = starts.select("start", "ip", "table", F.array("table").alias("hops"), F.lit(None).cast("string").alias("end"))
     for _ in range(depth):
-        hit = longest_prefix(routes, open_, "ip", "cidr", "table").select("start", "ip", "table", "target")
-        met = open_.join(hit, ["start", "ip", "table"], "left").join(tables, F.col("target") == F.col("_t"), "left")
-        loop = F.col("_t").isNotNull() & F.array_contains("hops", F.col("target"))
-        end = F.when(F.col("target").isNull(), "none").when(loop, "UNKNOWN").when(F.col("_t").isNull(), F.col("target"))
-        met = met.withColumn("end", end)
-        done = met.where("end IS NOT NULL").select("start", "ip", F.size("hops").alias("hops"), "end")
-        out = done if out is None else out.union(done)
-        open_ = met.where("end IS NULL").select("start", "ip", F.col("target").alias("table"), F.concat("hops", F.array("target")).alias("hops"))
-    return out.union(open_.select("start", "ip", F.size("hops").alias("hops"), F.lit("UNKNOWN").alias("end")))
+        met = at.join(step, ["ip", "table"], "left")
+        loop = F.col("_known") & F.array_contains("hops", F.col("target"))
+        end = F.coalesce("end", F.when(F.col("target").isNull(), "none").when(loop, "UNKNOWN").when(F.col("_known").isNull(), F.col("target")))
+        go = F.col("_end").isNull()
+        met = met.withColumn("_end", end)
+        at = met.select("start", "ip", F.when(go, F.col("target")).otherwise(F.col("table")).alias("table"), F.when(go, F.concat("hops", F.array("target"))).otherwise(F.col("hops")).alias("hops"), F.col("_end").alias("end"))
+    return at.select("start", "ip", F.size("hops").alias("hops"), F.coalesce("end", F.lit("UNKNOWN")).alias("end"))
 
 
 def paths(hops: DataFrame) -> DataFrame:
