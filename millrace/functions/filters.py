@@ -74,7 +74,7 @@ def match_fields(columns: list[Column], query: str, together: bool = False) -> C
 def page_identity(url: Column) -> Column:
     """A page by its id in the URL, else by host and path without trailing slash or fragment."""
     page = F.regexp_extract(url, r"[?&/]page(?:s/|Id=)(\d+)", 1)
-    plain = F.concat(F.lower(F.parse_url(url, F.lit("HOST"))), F.rtrim(F.lit("/"), F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit(""))))
+    plain = F.concat(F.lower(F.parse_url(url, F.lit("HOST"))), F.rtrim(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/")))
     return F.when(page != "", F.concat(F.lit("page:"), page)).otherwise(plain)
 
 

@@ -196,7 +196,7 @@ def import_records(new: DataFrame, existing: DataFrame, url: str = "url", order:
     host = F.parse_url(F.col(url), F.lit("HOST"))
     user = F.parse_url(F.col(url), F.lit("USERINFO"))
     valid = new.where(F.col(url).rlike("^https?://[^\\s]+$")).where(host.isNotNull() & user.isNull())
-    same = F.lower(F.rtrim(F.lit("/"), F.split(F.col(url), "#")[0]))
+    same = F.lower(F.rtrim(F.split(F.col(url), "#")[0], F.lit("/")))
     valid = valid.withColumn("_same", same)
     first = F.row_number().over(Window.partitionBy("_same").orderBy(order))
     known = existing.select(same.alias("_same"))
