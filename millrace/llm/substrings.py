@@ -96,6 +96,11 @@ class Suffixes:
         self.inverse = np.multiply.accumulate(inverse)
         self.prefix = np.zeros(n, dtype=np.uint64)
         np.cumsum(_letters()[data] * power[:-1], out=self.prefix[1:])
+        # The eight bytes from each place as one number, first byte highest.
+        word = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        for size in (1, 2, 4):
+            word = (word[:-size] << np.uint64(8 * size)) | word[size:]
+        self.word = word
 
     def hashes(self, x: np.ndarray, length) -> np.ndarray:
         return (self.prefix[x + length] - self.prefix[x]) * self.inverse[x]
@@ -116,12 +121,6 @@ class Suffixes:
         out = self.data[x + inside] < self.data[y + inside]
         return out | (n == self.width) if or_equal else out & (n < self.width)
 
-    def words(self, x: np.ndarray, at: int) -> np.ndarray:
-        out = np.zeros(len(x), dtype=np.uint64)
-        for i in range(8):
-            out = (out << np.uint64(8)) | self.data[x + at + i]
-        return out
-
     def mergesort(self, x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """x with every class (first, size: its place, for each element) in suffix order.
 
@@ -154,36 +153,53 @@ class Suffixes:
         return x
 
     def repeated(self, x: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Those of the starts x whose window occurs at another start of the same group."""
+        """Those of the starts x whose window occurs at another start (of the same group: equal windows always share it)."""
         for at in range(0, min(128, self.width - 7), 8):  # leading words, as long as they thin out large classes
-            order = np.lexsort((self.words(x, at), group))
-            x, key, group = x[order], self.words(x, at)[order], group[order]
-            new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]) if len(x) else np.empty(0, bool)
-            cls = np.cumsum(new) - 1
-            size = np.bincount(cls) if len(cls) else np.empty(0, int)
-            keep = size[cls] > 1
-            x, group = x[keep], cls[keep]  # a class of its own is no repeat
-            if not len(x) or np.bincount(group).max() <= 64:
+            key = self.word[x + at] ^ (group.astype(np.uint64) * _MIX)
+            order = np.argsort(key)
+            x, key = x[order], key[order]
+            group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]) - 1
+            size = np.bincount(group, minlength=1)
+            keep = size[group] > 1
+            x, group = x[keep], group[keep]  # a class of its own is no repeat
+            if not len(x) or size.max() <= 64:
                 break
         if not len(x):
             return x
-        _, group = np.unique(group, return_inverse=True)
+        new = np.concatenate([[True], group[1:] != group[:-1]])
+        group = np.cumsum(new) - 1
         size = np.bincount(group)
         many = np.repeat(size > 2, size)  # two neighbours need no order
         own = size[size > 2]
         x[many] = self.mergesort(x[many], np.repeat(np.cumsum(own) - own, own), np.repeat(own, own))
-        near = (group[1:] == group[:-1]) & (self.common(x[1:], x[:-1]) == self.width)
-        at = np.flatnonzero(near)
-        for i in range(0, len(at), 4096):  # the bytes decide, not the hashes
-            part = at[i : i + 4096]
-            cells = np.arange(self.width)
-            same = (self.data[x[part][:, None] + cells] == self.data[x[part + 1][:, None] + cells]).all(1)
-            near[part[~same]] = False
+        near = (group[1:] == group[:-1]) & (self.hashes(x[1:], self.width) == self.hashes(x[:-1], self.width))
+        near &= self.verified(x[1:], x[:-1], near)
         hit = np.zeros(len(x), bool)
         hit[1:] |= near
         hit[:-1] |= near
         return x[hit]
 
+    def verified(self, x: np.ndarray, y: np.ndarray, claimed: np.ndarray) -> np.ndarray:
+        """Which claimed pairs have equal windows: the bytes decide, not the hashes.
+
+        Pairs at one distance whose windows overlap are compared as one stretch; only where a
+        stretch differs are its windows compared one by one.
+        """
+        at = np.flatnonzero(claimed)
+        low, apart = np.minimum(x[at], y[at]), np.abs(x[at] - y[at])
+        order = np.lexsort((low, apart))
+        at, low, apart = at[order], low[order], apart[order]
+        new = np.concatenate([[True], (apart[1:] != apart[:-1]) | (low[1:] - low[:-1] > self.width)])[: len(at)]
+        ok, first, data = claimed.copy(), np.flatnonzero(new), self.data
+        last = np.append(first[1:], len(at)) - 1
+        for i, j, a, b, d in zip(first.tolist(), last.tolist(), low[first].tolist(), low[last].tolist(), apart[first].tolist(), strict=True):
+            end = b + self.width
+            if not np.array_equal(data[a:end], data[a + d : end + d]):
+                for n in range(i, j + 1):
+                    p = low[n]
+                    ok[at[n]] = np.array_equal(data[p : p + self.width], data[p + d : p + d + self.width])
+        return ok
+
 
 def _merge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of the ranges [a, b); touching ranges join."""
