@@ -55,14 +55,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, mo
 def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int = EXACT) -> list[int]:
     """How many documents of each length to take so that their tokens come as near below `budget` as can be.
 
-    Proportional numbers first, then whole documents of the longest lengths, then an exact fit of at
-    most about `exact` tokens plus the longest length.
+    Proportional numbers first, up to `exact` tokens short of the budget, then whole documents of the
+    longest lengths, then an exact fit of at most about `exact` tokens.
     """
     total = sum(n * m for n, m in zip(lengths, counts, strict=True))
     budget = max(0, min(budget, total))
     if not total:
         return [0] * len(lengths)
-    taken = [m * budget // total for m in counts]
+    taken = [m * max(0, budget - exact) // total for m in counts]
     rest = budget - sum(n * m for n, m in zip(lengths, taken, strict=True))
     order = sorted((i for i in range(len(lengths)) if lengths[i] > 0), key=lambda i: -lengths[i])
     for i in order:
