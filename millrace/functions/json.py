@@ -173,3 +173,21 @@ def any_of(conditions: list[Column]) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def parse_embedded(text: Column) -> Column:
+    """A string that itself holds JSON, URL-encoded or not, as a value; NULL for other text."""
+    decoded = F.when(text.contains("%7B") | text.contains("%5B"), F.try_url_decode(text)).otherwise(text)
+    return F.when(F.trim(decoded).rlike(r"^[\[{]"), F.try_parse_json(decoded))
+
+
+def values_at(walked: Column, path: str) -> Column:
+    """Whether a walk path is the dotted path, lists on the way gone through."""
+    return F.regexp_replace(walked, r"\[\d+\]", "") == "." + path
+
+
+def type_order(v: Column) -> Column:
+    """Place of a value's kind in the total order null, false, true, number, string, array, object (§2.16)."""
+    kind = json_type(v)
+    truth = F.when(F.try_variant_get(v, "$", "boolean"), 2).otherwise(1)
+    return F.when(kind == "null", 0).when(kind == "boolean", truth).when(kind == "number", 3).when(kind == "string", 4).when(kind == "array", 5).when(kind == "object", 6)

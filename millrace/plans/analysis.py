@@ -335,14 +335,12 @@ RULES = "(SELECT p_partkey % 40 AS \"group\", CASE WHEN p_partkey % 6 = 0 THEN '
 SIDE = "(SELECT s_suppkey, s_nationkey, s_acctbal + CASE WHEN s_suppkey % 4 = 0 THEN {add} ELSE 0 END AS bal, 'app-<env>-svc' || s_suppkey % 7 || CASE WHEN s_suppkey % 5 = 0 THEN '-{token}' ELSE '' END || '-n' || printf('%03d', s_suppkey) AS name FROM supplier WHERE s_suppkey % {skip} <> 0)"
 A, B = SIDE.format(add=0, token="blue", skip=11), SIDE.format(add=1, token="green", skip=13)
 TREE = "(SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"
-LINES = "SELECT {k}, {side} AS side, unnest(string_split(regexp_replace({t}, '\\r\\n?', chr(10), 'g'), chr(10))) AS line"
 
 
 def _line_diff(pairs: str, keys: str) -> str:
     s = lambda c: f"SELECT {keys}, line, row_number() OVER (PARTITION BY {keys}, line) AS nth FROM (SELECT {keys}, unnest(string_split(regexp_replace({c}, '\\r\\n?', chr(10), 'g'), chr(10))) AS line FROM p)"
     return f"""WITH p AS ({pairs}), a AS ({s('original')}), b AS ({s('modified')}),
-      j AS (SELECT {keys}, a.line IS NULL AS added, b.line IS NULL AS removed FROM (SELECT *, 1 AS x FROM a) a FULL JOIN (SELECT *, 1 AS x FROM b) b USING ({keys}, line, nth)),
-      k AS (SELECT {keys}, (SELECT 0) AS z, * EXCLUDE ({keys}) FROM (SELECT {keys}, coalesce(ax, 0) AS ax, coalesce(bx, 0) AS bx FROM (SELECT *, 1 AS ax FROM a) a FULL JOIN (SELECT *, 1 AS bx FROM b) b USING ({keys}, line, nth)))
+      k AS (SELECT {keys}, coalesce(ax, 0) AS ax, coalesce(bx, 0) AS bx FROM (SELECT *, 1 AS ax FROM a) a FULL JOIN (SELECT *, 1 AS bx FROM b) b USING ({keys}, line, nth))
       SELECT {keys}, count(*) FILTER (ax = 1 AND bx = 1) AS same, count(*) FILTER (ax = 0) AS added, count(*) FILTER (bx = 0) AS removed, count(*) FILTER (ax = 0 OR bx = 0) = 0 AS identical FROM k GROUP BY ALL"""
 
 
