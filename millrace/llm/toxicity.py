@@ -92,9 +92,9 @@ def fit_ordinal(
     xt = lambda r: np.bincount(col, value * r[row], m)
     v = np.ones(m)
     for _ in range(15):
-        v = xt(weight * x(v))
+        v = xt(weight * x(v)).astype(np.float64)  # without any feature, counts are whole numbers
         norm = np.linalg.norm(v)
-        v /= max(norm, 1e-300)
+        v = v / max(norm, 1e-300)
     step = 1 / (0.25 * norm + 1e-9)
     share = np.array([weight[grades > j].sum() for j in range(k)])
     thresholds = np.log((1 - share + 1e-6) / (share + 1e-6))
