@@ -20,7 +20,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import durable, table
 from .components import connected_components
@@ -52,14 +51,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        values = np.array([fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., fp) of every row; fp is the fingerprint as a signed 64-bit number; keep: bigint columns."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text"))
+    return rows.mapInArrow(_fingerprints, "".join(f"{c} long, " for c in ("doc_id", *keep)) + "fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -148,17 +147,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with two hashes of the whole row, which name it whatever its id."""
+    every = [F.col(c) for c in docs.columns]
+    return docs.select("*", F.xxhash64(*every).alias("_k1"), F.xxhash64(*every, F.lit(1)).alias("_k2"))
+
+
+def _first_of(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """The first row of each group by (doc_id, row key), ids before nulls; named: (doc_id, _k1, _k2, group)."""
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_k1"), F.col("_k2"))
+    heads = named.groupBy("group").agg(F.min_by(F.struct("_k1", "_k2"), place).alias("head")).select("head.*")
+    found = keyed.join(heads, ["_k1", "_k2"], "left_semi")
+    return found.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")  # rows equal in every column
+
+
 def keep_one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stand first in their SimHash group: smallest doc_id, one row each.
+    """One row of `docs` for each SimHash group: that of smallest doc_id, rows without an id last.
 
-    Of rows that share a kept doc_id the one of least content hash stays. Rows without an id
-    stay only as one row, if a group consists of such rows alone.
+    Rows of a group that share the id are told apart by a hash of the whole row. Every group keeps
+    exactly one row, whatever ids its rows have or share with other groups.
     """
-    groups = simhash_groups(docs, radius=radius)
-    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_head")).distinct()
-    own = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"]))
-    order = Window.partitionBy("_head").orderBy(F.xxhash64("text", "source", "lang"))
-    return own.withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
+    keyed = _keyed(docs)
+    rows = durable(fingerprints(keyed, keep=("_k1", "_k2")))
+    roots = connected_components(fingerprint_links(rows.select("fp").distinct(), radius))
+    named = rows.join(roots, F.col("fp") == F.col("node"), "left")
+    return _first_of(keyed, named.select("doc_id", "_k1", "_k2", F.coalesce("component", "fp").alias("group")))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

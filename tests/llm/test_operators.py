@@ -98,6 +98,15 @@ def test_simhash_odd(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7]
 
 
+def test_every_simhash_group_keeps_one_row(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (4, text(3)), (5, text(5)), (5, text(6)), (6, text(6)), (7, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("a"), "lang": F.lit("en")})
+    kept = simhash.keep_one_per_group(docs).select("doc_id", "text")
+    want = [(None, text(1)), (None, text(2)), (4, text(3)), (5, text(5)), (5, text(6)), (7, text(7))]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 # 2 Toxicity
 
 
