@@ -11,8 +11,10 @@ forests of all tile pairs have the same connected components as all links togeth
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache, partial
 from itertools import product
 
 import numpy as np
@@ -21,26 +23,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, written
 from .components import connected_components
 
 RADIUS = 2
 WORDS = 3
 SEED = 42
 CHUNK = 4096  # fingerprints a tile, about
+NEAR_WORDS = 5  # words a shingle for near copies by exact similarity
+NEAR_RADIUS = 16  # differing bits up to which such a pair is compared
+NEAR_CHUNK = 2048
+SIMILARITY = 0.8
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
 
+def word_shingles(text: str | None, words: int) -> list[str]:
+    """All runs of `words` words of the text, or all its words if they are fewer; no word: none."""
+    found = [w for w in _SPACE.split((text or "").translate(_UPPER)) if w]
+    if len(found) < words:
+        return [" ".join(found)] if found else []
+    return list(map(" ".join, zip(*(found[i:] for i in range(words)), strict=False)))
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Bit i is set if it is set in over half the hashes of the text's word shingles; no word: 0."""
-    found = [w for w in _SPACE.split((text or "").translate(_UPPER)) if w]
-    if not found:
+    return _majority(word_shingles(text, words))
+
+
+def _majority(shingles: list[str]) -> int:
+    if not shingles:
         return 0
-    if len(found) < words:
-        shingles = [" ".join(found)]
-    else:
-        shingles = map(" ".join, zip(*(found[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
     ones = np.zeros(64, dtype=np.int64)
@@ -49,16 +62,16 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([fingerprint(t) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64)
+        values = np.array([fingerprint(t, words) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), words: int = WORDS) -> DataFrame:
     """(doc_id, keep..., fp) of every row; fp is the fingerprint as a signed 64-bit number; keep: bigint columns."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints, "".join(f"{c} long, " for c in ("doc_id", *keep)) + "fp long")
+    return rows.mapInArrow(partial(_fingerprints, words=words), "".join(f"{c} long, " for c in ("doc_id", *keep)) + "fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -161,17 +174,137 @@ def _first_of(keyed: DataFrame, named: DataFrame) -> DataFrame:
     return found.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")  # rows equal in every column
 
 
-def keep_one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _marks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, sizes = [], []
+        for text in batch.column(2).to_pylist():
+            shingles = word_shingles(text, words)
+            fps.append(_majority(shingles))
+            sizes.append(len(set(shingles)))
+        marks = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *marks], names=["t1", "t2", "fp", "n"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, hubs: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs (p, q) of two tiles that can be similar and have different labels.
+
+    With `hubs`, each member gives only the pair with that neighbour which has most neighbours.
+    """
+    for batch in batches:
+        rows = [[np.asarray(c[i].values) for c in batch.columns[:8]] for i in range(batch.num_rows)]
+        ps, qs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for (a, an, al, ai, b, bn, bl, bi), same in zip(rows, batch.column(8).to_pylist(), strict=True):
+            a, b = a.view(np.uint64), b.view(np.uint64)
+            x, y = [], []
+            for i in range(0, len(a), 256):
+                p, q = np.nonzero(np.bitwise_count(a[i : i + 256, None] ^ b[None, :]) <= radius)
+                p += i
+                ok = (al[p] != bl[q]) & (np.minimum(an[p], bn[q]) >= similarity * np.maximum(an[p], bn[q]))
+                if same:
+                    ok &= p < q
+                x.append(p[ok].astype(np.int32))
+                y.append(q[ok].astype(np.int32))
+            p, q = np.concatenate(x), np.concatenate(y)
+            if hubs and len(p):
+                if same:
+                    p, q = np.concatenate([p, q]), np.concatenate([q, p])
+                most = np.bincount(p, minlength=len(a)), np.bincount(q, minlength=len(b))
+                pairs = []
+                for k, (own, other, degree) in enumerate(((p, q, most[1]), (q, p, most[0]))):
+                    order = np.lexsort((other, -degree[other], own))
+                    first = order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]
+                    pairs.append((own[first], other[first]) if k == 0 else (other[first], own[first]))
+                    if same:
+                        break
+                p, q = (np.concatenate(v) for v in zip(*pairs, strict=True))
+            ps.append(ai[p])
+            qs.append(bi[q])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ps)), pa.array(np.concatenate(qs))], names=["p", "q"])
+
+
+def _near_pairs(marks: DataFrame, radius: int, similarity: float, chunk: int, hubs: bool) -> DataFrame:
+    """Candidates (p, q) of marks (t1, fp, n, label): at most `radius` bits apart, of sizes that allow the similarity.
+
+    Tiles are made by size: a class holds sizes within a factor of 1 / similarity, so only tiles of
+    the same class and the next can hold a similar pair.
+    """
+    width = math.log(1 / similarity) * 1.0001 if similarity < 1 else 0.0001
+    group = F.when(F.col("n") == 0, -10).otherwise(F.floor(F.log(F.greatest("n", F.lit(1))) / width)).cast("int")
+    rows = marks.withColumn("class", group)
+    # At most a few hundred classes exist, whatever the input, so this table may be broadcast.
+    chunks = rows.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    rows = rows.join(F.broadcast(chunks), "class").withColumn("chunk", F.pmod(F.xxhash64("t1", F.lit(5)), F.col("chunks")).cast("int"))
+    both = F.sort_array(F.collect_list(F.struct("fp", "n", "label", "t1"))).alias("m")
+    tiles = rows.groupBy("class", "chunk").agg(both, F.first("chunks").alias("chunks"))
+    tiles = durable(tiles.select("class", "chunk", *[F.col(f"m.{c}").alias(c) for c in ("fp", "n", "label", "t1")]))
+    met = tiles.select("class", "chunk", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("other"))
+    met = met.join(F.broadcast(chunks.withColumnRenamed("class", "other")), "other")
+    met = met.select("class", "chunk", "other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other_chunk"))
+    met = met.where("class < other OR chunk <= other_chunk")
+    side = lambda prefix: [F.col(c).alias(f"{prefix}_{c}") for c in ("fp", "n", "label", "t1")]
+    left = tiles.select("class", "chunk", *side("a"))
+    right = tiles.select(F.col("class").alias("other"), F.col("chunk").alias("other_chunk"), *side("b"))
+    pairs = met.join(left, ["class", "chunk"]).join(right, ["other", "other_chunk"])
+    same = F.expr("class = other AND chunk = other_chunk").alias("same")
+    columns = [f"{x}_{c}" for x in "ab" for c in ("fp", "n", "label", "t1")]
+    found = pairs.select(*columns, same).mapInArrow(partial(_near, radius=radius, similarity=similarity, hubs=hubs), "p long, q long")
+    return found.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct() if hubs else found
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    shingles = lru_cache(64)(lambda text: frozenset(word_shingles(text, words)))
+    for batch in batches:
+        keep = []
+        for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            x, y = shingles(left), shingles(right)
+            both = len(x & y)
+            keep.append(both >= similarity * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(texts: DataFrame, words: int = NEAR_WORDS, radius: int = NEAR_RADIUS, similarity: float = SIMILARITY, chunk: int = NEAR_CHUNK) -> DataFrame:
+    """(node, component) over texts whose exact Jaccard similarity of word shingles is `similarity` or more.
+
+    texts: t1, t2, text, each text once; nodes are t1. Pairs up to `radius` bits apart are candidates.
+    Each text is first compared with its best connected neighbours of each tile pair, so that a large
+    group of copies comes together by few comparisons; every candidate pair that is still in
+    different components is then compared. Texts without a word are all alike.
+    """
+    texts = texts.where("t1 IS NOT NULL")
+    marks = durable(texts.mapInArrow(partial(_marks, words=words), "t1 long, t2 long, fp long, n long"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(texts.select(F.col("t1").alias("p"), F.col("text").alias("left")), "p")
+        met = met.join(texts.select(F.col("t1").alias("q"), F.col("text").alias("right")), "q").select("p", "q", "left", "right")
+        return durable(met.mapInArrow(partial(_confirmed, words=words, similarity=similarity), "p long, q long"))
+
+    links = confirmed(_near_pairs(marks.withColumn("label", F.col("t1")), radius, similarity, chunk, hubs=True))
+    roots = connected_components(links, "p", "q")
+    labelled = marks.join(roots, F.col("t1") == F.col("node"), "left").select("t1", "fp", "n", F.coalesce("component", "t1").alias("label"))
+    rest = confirmed(_near_pairs(labelled, radius, similarity, chunk, hubs=False))
+    return connected_components(links.union(rest), "p", "q")
+
+
+def keep_one_per_group(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similarity: float | None = None) -> DataFrame:
     """One row of `docs` for each SimHash group: that of smallest doc_id, rows without an id last.
 
     Rows of a group that share the id are told apart by a hash of the whole row. Every group keeps
-    exactly one row, whatever ids its rows have or share with other groups.
+    exactly one row, whatever ids its rows have or share with other groups. With `similarity`, a link
+    also needs that exact Jaccard similarity of the texts' shingles of `words` words; give a wide radius.
     """
     keyed = _keyed(docs)
-    rows = durable(fingerprints(keyed, keep=("_k1", "_k2")))
-    roots = connected_components(fingerprint_links(rows.select("fp").distinct(), radius))
-    named = rows.join(roots, F.col("fp") == F.col("node"), "left")
-    return _first_of(keyed, named.select("doc_id", "_k1", "_k2", F.coalesce("component", "fp").alias("group")))
+    if similarity is None:
+        rows = durable(fingerprints(keyed, keep=("_k1", "_k2"), words=words))
+        roots = connected_components(fingerprint_links(rows.select("fp").distinct(), radius))
+        own = F.col("fp")
+    else:
+        text = F.coalesce("text", F.lit(""))
+        rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_k1", "_k2", F.xxhash64(text).alias("t1"))
+        texts = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
+        roots = near_copies(written(texts.dropDuplicates(["t1", "t2"])), words, radius, similarity)
+        own = F.col("t1")
+    named = rows.join(roots, own == F.col("node"), "left")
+    return _first_of(keyed, named.select("doc_id", "_k1", "_k2", F.coalesce("component", own).alias("group")))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

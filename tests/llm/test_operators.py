@@ -107,6 +107,39 @@ def test_every_simhash_group_keeps_one_row(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_near_copies_stage_equals_brute_force(spark):
+    from corpus_pipeline import near_duplicate_stage
+
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \n", "one two", "One  two", "one three"]
+    for b in range(8):
+        base = [f"b{b}w{i}" for i in range(40 + 30 * b)]
+        texts.append(" ".join(base))
+        for _ in range(30 if b == 7 else 4):  # copies of the last base are like it, but hardly like each other
+            copy = list(base)
+            for at in rng.choice(len(base), max(1, len(base) // 60), replace=False):
+                copy[at] = f"x{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    rows = [(None if i % 7 == 3 else i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:1] + [(99, texts[9], "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [frozenset(simhash.word_shingles(t, 5)) for t in texts]
+    parent = list(range(len(texts)))
+    for _ in parent:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if len(x & y) >= 0.8 * len(x | y):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    assert len(set(parent)) < len(texts) / 2
+    want = {}
+    for i, root in enumerate(parent):
+        want[root] = min(want.get(root, (True, 0)), (rows[i][0] is None, rows[i][0] or 0))
+    got = near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
+    texts = docs.select(F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"), "text").where("text IS NOT NULL").dropDuplicates(["t1"])
+    components = lambda n: {(r.node, r.component) for r in simhash.near_copies(texts, chunk=n).collect()}
+    assert components(7) == components(4096)
+
+
 # 2 Toxicity
 
 
