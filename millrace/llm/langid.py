@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -109,17 +110,27 @@ def fold(id_col: str = "doc_id"):
 def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel | None:
     """The model learnt from rows with a text and a language; None if there is no such row.
 
-    At most about `sample_rows` rows are read by the fit, an equal number for each language, chosen
-    by a hash of the text. Only that sample and one count for each language reach the driver.
+    The fit reads an equal number of different texts for each language, about `sample_rows` in all and
+    one at least, those of smallest hash; copies of a text count once. Only that sample and one
+    count for each language reach the driver.
     """
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    known = known.withColumns({"h": F.xxhash64("text", F.lit(SEED)), "h2": F.xxhash64("text")})
+    texts = known.select("lang", "h", "h2").distinct()
+    found = {r["lang"]: r for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()}
+    if not found:
         return None
-    languages = sorted(counts)
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, sample_rows / len(languages) / counts[k]))])
-    unit = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(unit < share[F.col("lang")]).limit(2 * sample_rows).mapInArrow(_features, "lang string, x binary").collect()
+    languages = sorted(found)
+    quota = max(1, sample_rows // len(languages))
+    # Hashes are spread evenly, so those below this bound are about twice the quota: only they are ranked.
+    bound = {k: max(r["least"], int(min(1.0, (2 * quota + 20) / r["n"]) * (2**64 - 1)) - 2**63) for k, r in found.items()}
+    bounds = docs.sparkSession.createDataFrame([(k, min(v, 2**63 - 1)) for k, v in bound.items()], "lang string, bound long")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "h2"))
+    low = texts.join(F.broadcast(bounds), "lang").where("h <= bound").drop("bound")  # one row a language
+    chosen = low.withColumn("nth", nth).where(F.col("nth") <= quota).select("lang", "h", "h2")
+    sample = known.join(F.broadcast(chosen), ["lang", "h", "h2"], "left_semi").dropDuplicates(["lang", "h", "h2"])  # about sample_rows keys
+    sample = sample.select("lang", "text").mapInArrow(_features, "lang string, x binary").collect()
+    sample.sort(key=lambda r: (r["lang"], r["x"]))
     place = {k: i for i, k in enumerate(languages)}
     code = codewords(len(languages))
     x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in sample]).astype(np.float32)

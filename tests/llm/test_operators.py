@@ -517,3 +517,14 @@ def test_languages_odd(odd, empty):
     assert langid.predict_language(empty, model).count() == 0
     assert langid.fit_languages(empty) is None
     assert {r.lang_pred for r in langid.predict_language(odd, None).collect()} == {"und"}
+
+
+def test_languages_survive_many_copies(spark):
+    words = {"en": "the house and garden with many people", "de": "das haus und der garten mit vielen leuten", "fr": "la maison et le jardin avec des gens"}
+    copies = [("en", f"{words['en']} number{i}") for i in range(6) for _ in range(3000)] + [("de", words["de"])] * 3000 + [("fr", words["fr"])]
+    docs = spark.createDataFrame(copies, "lang string, text string").withColumn("doc_id", F.monotonically_increasing_id())
+    for rows in (docs, docs.where("lang = 'de'"), docs.where("lang <> 'en'")):
+        model = langid.fit_languages(rows, sample_rows=30)
+        asked = rows.select("lang", "text").distinct().withColumn("doc_id", F.monotonically_increasing_id()).localCheckpoint()
+        got = langid.predict_language(asked, model).join(asked, "doc_id").collect()
+        assert got and all(r.lang_pred == r.lang for r in got)
