@@ -56,8 +56,8 @@ def keyword_hits(spark, sf):
 
 
 def relevance_rank(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", "url", F.substring("html", 1, 400).alias("head"), (F.col("page_id") % 7).alias("views"), F.date_sub(F.lit("2024-01-20").cast("date"), (F.col("page_id") % 40).cast("int")).cast("timestamp").alias("viewed"))
-    found = search.relevance(rows, "page_id", {"url": 3.0, "head": 1.0}, "example page", "views", "viewed", "2024-01-20")
+    rows = table(spark, sf, "pages").select("page_id", "url", F.col("html").alias("body"), (F.col("page_id") % 7).alias("views"), F.date_sub(F.lit("2024-01-20").cast("date"), (F.col("page_id") % 40).cast("int")).cast("timestamp").alias("viewed"))
+    found = search.relevance(rows, "page_id", {"url": 3.0, "body": 1.0}, "example page", "views", "viewed", "2024-01-20")
     return found.select("page_id", "tier", F.round("score", 6).alias("score"), "matched")
 
 

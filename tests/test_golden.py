@@ -170,3 +170,12 @@ def test_secrets(spark):
     for r in df.select("*", secrets.secret_kind(F.col("k"), F.col("v")).alias("got")).collect():
         assert r.got == r.want, r
     assert spark.range(1).select(secrets.mask(F.lit("abcdefghijkl"))).first()[0] == "********ijkl"
+
+
+def test_relevance_rank_reads_whole_pages(spark, tmp_path):
+    from millrace.plans.analysis import relevance_rank
+
+    rows = [(1, "u://a", "x " * 300 + "example page"), (2, "u://b", "x " * 300 + "page example"), (3, "u://c", "x " * 300 + "pages"), (4, "u://d", "x " * 300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = relevance_rank(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.tier, r.matched) for r in got) == [(1, 3, 2), (2, 2, 2), (3, 1, 1)]
