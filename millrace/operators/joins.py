@@ -43,7 +43,7 @@ def pair_sides(source: DataFrame, target: DataFrame, keys: list[str], id_col: st
     both = a.join(b, [*keys, "_n"], "full_outer")
     status = F.when(F.col("target_id").isNull(), "missing").when(F.col("source_id").isNull(), "extra").otherwise("paired")
     if unlisted is not None:
-        both = both.join(F.broadcast(unlisted.select(keys[0]).distinct().limit(10_000)).withColumn("_u", F.lit(True)), keys[0], "left")
+        both = both.join(unlisted.select(keys[0]).distinct().withColumn("_u", F.lit(True)), keys[0], "left")
         status = F.when(F.col("_u"), "not compared").otherwise(status)
     return both.select(*keys, "source_id", "target_id", status.alias("status"))
 

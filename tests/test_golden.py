@@ -179,3 +179,11 @@ def test_relevance_rank_reads_whole_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = relevance_rank(spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.tier, r.matched) for r in got) == [(1, 3, 2), (2, 2, 2), (3, 1, 1)]
+
+
+def test_pair_sides_takes_all_unlisted_keys(spark):
+    from millrace.operators.joins import pair_sides
+
+    ids = spark.range(12_000).selectExpr("id AS k", "id")
+    got = pair_sides(ids.where("k % 2 = 0"), ids.where("k % 3 = 0"), ["k"], "id", ids.select("k"))
+    assert {(r.status, r.n) for r in got.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()} == {("not compared", 8000)}
