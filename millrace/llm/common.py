@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,19 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed_table(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
+    """A table in the warehouse bucketed by `columns`, dropped at the end; joins and groups by them read it without a shuffle.
+
+    `df` should already be partitioned by the columns, or each task writes a file for every bucket.
+    """
+    spark = df.sparkSession
+    name = f"millrace_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        df.write.bucketBy(parts, *columns).format("parquet").option("compression", "zstd").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
