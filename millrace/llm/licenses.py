@@ -1,6 +1,7 @@
-"""License scan: exact set-similarity join of text blocks (lines) with license templates, and base phrases.
+"""License scan: exact set-similarity join of text blocks (paragraphs) with license templates, and base phrases.
 
-A block holds a template if at least `threshold` of the template's different words occur in it. The
+A block is a paragraph: lines up to one that holds nothing but white space and comment marks, so a
+notice that is wrapped over several lines, in a comment or not, is one block. A block holds a template if at least `threshold` of the template's different words occur in it. The
 tokens of every template are put in ascending order of the number of documents of the whole input
 that hold them. Filters, all exact: a block must hold one of the template's first
 size - required + 1 tokens (prefix), at least `required` different words (length), and its first
@@ -22,6 +23,7 @@ from .common import table
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 THRESHOLD = 0.8
+BREAK = r"\n([ \t\r#*/;%!-]*\n)+"  # between two paragraphs: lines without anything but white space and comment marks
 
 # Base phrases and license notices.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -33,6 +35,19 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License",
+    "apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+    "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+    "permissions and limitations under the License.",
+    "bsd-warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions:",
+    "mit-warranty": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
 }
 
 
@@ -80,9 +95,9 @@ def scan_licenses(
 ) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, places (struct word, label), matches (struct block, label, containment).
 
-    places: every start of a base phrase, in words from 0. matches: every block (line, from 0) and
+    places: every start of a base phrase, in words from 0. matches: every block (paragraph, from 0) and
     template label with a containment of `threshold` or more. Null counts as empty text, which has
-    neither; repeated rows give repeated results; null ids stay null; other columns are ignored.
+    neither; texts of any length are taken whole; repeated rows give repeated results; null ids stay null; other columns are ignored.
     """
     low = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     tokens = template_tokens(templates)
@@ -102,7 +117,7 @@ def scan_licenses(
         "doc_id", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
         F.when(some_phrase, words(F.col("low"))).otherwise(no_words).alias("w"),
         # the prefix filter, on the text of a block: a cheap superset of the test on its words
-        F.when(some_token, F.split("low", "\n")).otherwise(no_words).alias("blocks"),
+        F.when(some_token, F.split("low", BREAK)).otherwise(no_words).alias("blocks"),
     )
 
     def located(phrase: str, label: str) -> Column:
@@ -161,7 +176,7 @@ w AS (SELECT r, doc_id, regexp_extract_all(low, '{WORD}') AS w FROM d),
 p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 b AS ({places}),
 t(label, own) AS (VALUES {values}),
-l AS (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d),
+l AS (SELECT r, unnest(string_split_regex(low, '{BREAK}')) AS line FROM d),
 m AS (SELECT r, label, len(list_intersect(own, regexp_extract_all(line, '{WORD}'))) / CAST(len(own) AS DOUBLE) AS c FROM l, t),
 base AS (SELECT r, count(*) AS n, min(word) AS a, max(word) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM b GROUP BY r),
 held AS (SELECT r, max(c) AS c FROM m WHERE c >= {THRESHOLD} GROUP BY r),

@@ -187,24 +187,32 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+def _read(media: bytes | None) -> tuple[bytes | None, str | None, str | None]:
+    try:
+        payload, facts = read_ogg(media)
+        return payload, feature(payload, facts), None
+    except (ValueError, IndexError, KeyError, TypeError, struct.error) as e:
+        return None, None, str(e) or type(e).__name__
+
+
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
-            read = [read_ogg(m) for m in part.column("media").to_pylist()]
+            read = [_read(m) for m in part.column("media").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), part.column("n_bytes"), part.column("media"),
-                    pa.array([p for p, _ in read], pa.binary()), pa.array([feature(p, f) for p, f in read], pa.string()),
+                    *[pa.array(c, t) for c, t in zip(zip(*read, strict=True), (pa.binary(), pa.string(), pa.string()), strict=True)],
                 ],
-                names=["doc_id", "n_bytes", "media", "payload", "feature"],
+                names=["doc_id", "n_bytes", "media", "payload", "feature", "error"],
             )
 
 
 def load_media(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media, payload, feature) of stored files; a damaged file fails the task."""
+    """(doc_id, n_bytes, media, payload, feature, error) of stored files; a damaged or null file has just an error."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        _load, "doc_id long, n_bytes long, media binary, payload binary, feature string"
+        _load, "doc_id long, n_bytes long, media binary, payload binary, feature string, error string"
     )
 
 

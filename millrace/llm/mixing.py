@@ -15,6 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from .common import durable, table
@@ -89,31 +90,36 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int, exact: int =
     return taken
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fit(pdf: pd.DataFrame, exact: int) -> pd.DataFrame:
+    """The documents of one source taken more than `passes` times, by size."""
     size, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
     passes = int(target // size) if size else 0
     pdf = pdf.sort_values("size")
-    extra = fit_lengths(pdf["size"].tolist(), pdf["n"].tolist(), round(target - passes * size))
+    extra = fit_lengths(pdf["size"].tolist(), pdf["n"].tolist(), round(target - passes * size), exact)
     return pd.DataFrame({"key": pdf["key"], "size": pdf["size"], "source_size": size, "target": target, "passes": passes, "extra": extra})
 
 
 def mix_sources(
     docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, kept_prefix: str = "",
+    weights=WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, kept_prefix: str = "", exact: int = EXACT,
 ) -> DataFrame:
     """The columns `keep` of every row of `docs` (their names after `kept_prefix`) with size, source_size, target and taken.
 
     A document's size is its number of words (runs of other than white space); null texts have 0. Null is
     a source of its own, after all others. `taken` is a whole multiple of the size. Rows with the
-    same id are separate documents; which of them is taken more often is not defined, how many are
-    is. An empty table gives no rows; sources without words get target 0.
+    same id are separate documents, told apart by a hash of their text and kept columns. The last
+    `exact` tokens of a source's remaining budget are fitted exactly, longest documents first; so a
+    source whose remaining budget is below `exact` takes no proportional part of each length. Texts are
+    counted whole. An empty table gives no rows; sources without words get target 0.
     """
     key = F.coalesce(F.concat(F.lit("="), source_col), F.lit("-"))
     place = F.concat(F.when(F.col(source_col).isNull(), "1").otherwise("0"), F.coalesce(source_col, F.lit("")))
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long")
     draw = F.xxhash64(F.col(id_col), F.lit(seed))
     own = [F.col(c).alias(f"_kept_{c}") for c in keep]
-    rows = docs.select(key.alias("key"), place.alias("place"), size.alias("size"), draw.alias("draw"), *own)
+    plain = [c for c in keep if not isinstance(docs.schema[c].dataType, MapType)]
+    tie = F.xxhash64(text_col, *plain).alias("tie")
+    rows = docs.select(key.alias("key"), place.alias("place"), size.alias("size"), draw.alias("draw"), tie, *own)
     rows = rows.withColumn("bucket", F.shiftrightunsigned("draw", 56).cast("int") % BUCKETS)
     counts = durable(rows.groupBy("key", "place", "size", "bucket").agg(F.count(F.lit(1)).alias("n")))
     sources = counts.groupBy("key", "place").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -121,7 +127,7 @@ def mix_sources(
     fitted = (
         lengths.join(source_targets(sources, weights, budget, most), "key")
         .groupBy("key")
-        .applyInPandas(_fit, "key string, size long, source_size long, target double, passes long, extra long")
+        .applyInPandas(lambda pdf: _fit(pdf, exact), "key string, size long, source_size long, target double, passes long, extra long")
     )
     before = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     share = counts.select("key", "size", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")).join(fitted, ["key", "size"])
@@ -129,7 +135,7 @@ def mix_sources(
         "key", "size", "bucket", "source_size", "target", "passes",
         F.least("n", F.greatest(F.lit(0), F.col("extra") - F.col("earlier"))).alias("extra"),
     )
-    place_in_bucket = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw"))
+    place_in_bucket = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw", "tie"))
     ranked = rows.drop("place").withColumn("nth", place_in_bucket).join(share, ["key", "size", "bucket"])
     taken = F.col("size") * (F.col("passes") + (F.col("nth") <= F.col("extra")).cast("long"))
     return ranked.select(*[F.col(f"_kept_{c}").alias(kept_prefix + c) for c in keep], "size", "source_size", "target", taken.alias("taken"))

@@ -57,7 +57,8 @@ class WordEncoder:
     in turn. Chunks are cut at space, tab, line feed and carriage return, which every Unicode class
     of white space includes, and before punctuation that follows a Latin letter; other white space
     stays inside a chunk for the tokenizer. Texts are lower-cased first where that provably gives
-    what the tokenizer's normalizer gives. Chunks of Latin letters alone are one word each and go to
+    what the tokenizer's normalizer gives. A text that holds the name of an added token, which the
+    tokenizer looks for before all else, goes to it as it is. Chunks of Latin letters alone are one word each and go to
     the tokenizer's model directly; all others are encoded many at a time, a NUL between them.
     """
 
@@ -65,12 +66,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.known: dict[str, bytes] = {"": b""}
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.stop,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     @staticmethod
     def chunks(text: str) -> list[str]:
         low = text.lower()
@@ -85,7 +89,7 @@ class WordEncoder:
                 shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
                 self.known[w] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             elif "\0" in w:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                self.known[w] = self.whole(w)
             else:
                 mixed.append(w)
         for i in range(0, len(mixed), 2048):
@@ -97,12 +101,13 @@ class WordEncoder:
                 start = end + 1
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        rows = [self.chunks(t) for t in texts]
+        whole = {i: self.whole(t) for i, t in enumerate(texts) if any(a in t.lower() for a in self.added)}
+        rows = [[] if i in whole else self.chunks(t) for i, t in enumerate(texts)]
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
         self.learn(list(set().union(*rows).difference(self.known)))
         get = self.known.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        return [whole.get(i) or b"".join(map(get, r)) for i, r in enumerate(rows)]
 
 
 @cache

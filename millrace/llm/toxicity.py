@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -119,7 +120,8 @@ def fit_ordinal(
 
 
 def grade_toxic(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0, 1, 2 of 0/1 labels: a toxic row is severe if it holds more telling features than the median toxic row.
+    """Grades 0, 1, 2 of 0/1 labels. Grade 2 is not in the labels: it is made of the features here, so only
+    grade 0 against the rest can be held against labels. A toxic row is severe if it holds more telling features than the median toxic row.
 
     Telling: in 4 * LEAST_ROWS rows or more, at least nineteen of twenty of them toxic.
     """
@@ -146,18 +148,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> SeverityModel:
     """The model learnt from documents with a 0/1 label (null labels are left out).
 
-    At most about `sample_rows` labelled rows, half of either label as far as they go, are chosen by
-    a hash of the id; only they and two counts reach the driver.
+    At most `sample_rows` labelled texts, half of either label as far as they go, are chosen by hashes:
+    of about twice as many ids (4 * sample_rows at most), those of smallest hash, each different text
+    once. Only they and two counts reach the driver. Of rows with one id the smallest text counts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1):
         return SeverityModel(np.empty(0, np.int64), np.empty(0), np.full(2, 30.0))
-    share = F.when(F.col("label") == 1, sample_rows / 2 / counts[1]).otherwise(sample_rows / 2 / max(1, counts.get(0, 0)))
-    unit = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    # `limit` bounds the side that is broadcast, whatever the input.
-    chosen = F.broadcast(known.where(unit < share).limit(2 * sample_rows))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("label", "text").limit(2 * sample_rows)
+    quota = max(1, sample_rows // 2)
+    share = F.when(F.col("label") == 1, (2 * quota + 50) / counts[1]).otherwise((2 * quota + 50) / max(1, counts.get(0, 0)))
+    draw = F.xxhash64("id", F.lit(SEED))
+    # Hashes are spread evenly, so those below this share are about twice the quota: only they are ranked.
+    low = known.where(F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < share).distinct()
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(draw, "id"))
+    chosen = F.broadcast(low.withColumn("nth", nth).where(F.col("nth") <= 2 * sample_rows).drop("nth"))  # 4 * sample_rows ids at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"), F.min(draw).alias("draw"))
+    rows = rows.groupBy("label", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("h2")).agg(F.min(F.struct("draw", "id", "text")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("first.draw", "first.id"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= quota).select("label", "first.text")
     sample = rows.mapInArrow(_rows, "label int, f array<int>").toArrow()
     label = sample.column("label").to_numpy()
     features = [np.asarray(x.values, dtype=np.int64) for x in sample.column("f")]

@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 from .common import table
 
 SHARD_ROWS = 16384
+SHARD_BYTES = 64 << 20  # of vectors in a shard, at most
 BLOCK_ROWS = 1024
 LEAF = 256
 FACTOR = 1.0
@@ -175,7 +176,7 @@ def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(
     rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, leaf: int = LEAF,
+    factor: float = FACTOR, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, block_rows: int = BLOCK_ROWS, leaf: int = LEAF,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, ties to smaller ids.
 
@@ -185,7 +186,8 @@ def nearest(
     tables give no rows. Rows without an id take no part. Other columns are ignored.
     """
     all_rows = usable_vectors(rows, id_col, vector_col)
-    shards = max(1, -(-all_rows.count() // shard_rows))
+    found = all_rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("dim"), F.lit(1)).alias("dim")).first()
+    shards = max(1, -(-found["n"] // max(1, min(shard_rows, shard_bytes // (8 * found["dim"])))))
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")
     trees = all_rows.withColumn("shard", spread).groupBy("dim", "shard").applyInArrow(_planter(leaf), TREE)
     asking = usable_vectors(queries, id_col, vector_col).groupBy("vec_id", "dim").agg(F.min("vector").alias("vector"))

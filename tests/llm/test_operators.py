@@ -446,7 +446,10 @@ def test_licenses_odd(spark, odd, empty):
     text = "x CC-BY y\nAll rights, RESERVED!\nlicensed under the apache LICENSE version 2 0 or so\nThe GNU General Public License"
     r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert sorted((p.word, p.label) for p in r.places) == [(1, "cc-by"), (4, "reserved"), (19, "gpl")]
-    assert [(m.block, m.label, m.containment) for m in r.matches] == [(2, "apache-2.0", 1.0)]
+    assert [(m.block, m.label, m.containment) for m in r.matches] == [(0, "apache-2.0", 1.0)]
+    wrapped = "# some code\n#\n# This Source Code Form is subject\n# to the terms of the Mozilla\n# Public License\n#\n# more"
+    r = licenses.scan_licenses(spark.createDataFrame([(1, wrapped)], "doc_id long, text string")).first()
+    assert [(m.block, m.label) for m in r.matches] == [(1, "mpl-2.0")]
 
 
 # 9 Packing
@@ -460,7 +463,6 @@ def test_packing(spark):
     docs = table(spark, "documents").select("doc_id", "text")
     pieces = packing.pack_documents(docs, path, window=1 << 15).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
     got, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -492,8 +494,10 @@ def test_encoder_equals_the_tokenizer():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     texts = ["Don't stop,we're 12,345.67 İstanbul ΣΑΣ", "a\0b \x85x\xa0y\x1cz <|endoftext|> é n's ''s!!'t", "", " \n", "À'S ÉÎ ÿß ŒŸ Ł q", "the THE The,THE.the", "x" * 5000]
+    rng = np.random.default_rng(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|END", "OFTEXT|>", "<|EndOfText|>", " ", "a", "b.", "É", "\n", "don't", "12"]
+    texts += ["".join(rng.choice(parts, int(rng.integers(1, 9)))) for _ in range(1000)]
     for text, ids in zip(texts, packing.WordEncoder(path)(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
@@ -542,3 +546,48 @@ def test_languages_survive_many_copies(spark):
         asked = rows.select("lang", "text").distinct().withColumn("doc_id", F.monotonically_increasing_id()).localCheckpoint()
         got = langid.predict_language(asked, model).join(asked, "doc_id").collect()
         assert got and all(r.lang_pred == r.lang for r in got)
+
+
+def test_toxicity_sample_is_exact_and_counts_copies_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.1')}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "toxic")
+    known = docs.join(labels, "doc_id").where("text IS NOT NULL")
+    one = known.where("toxic = 1").orderBy("doc_id").first()
+    copies = spark.range(10_000_000, 10_000_300).select(F.col("id").alias("doc_id"), F.lit(one.text).alias("text"), F.lit(1).alias("toxic"))
+    plain = toxicity.fit_toxicity(known, known)
+    again = toxicity.fit_toxicity(known.union(known.limit(0)).repartition(7), known.repartition(3))
+    more = known.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).union(copies)
+    many = toxicity.fit_toxicity(more, more)
+    assert (plain.features == again.features).all() and (plain.weights == again.weights).all()
+    assert abs(len(many.features) - len(plain.features)) <= 0.2 * len(plain.features) + 5
+    assert len(plain.features)
+    half = toxicity.fit_toxicity(known.where("doc_id % 2 = 0"), known)
+    known = known.where("doc_id % 2 = 1")
+    found = toxicity.predict_toxicity(known, half).join(known.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    caught = found.where("label = 1").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    left = found.where("label = 0").agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    assert caught >= 0.6 and left <= 0.05
+
+
+def test_languages_survive_a_text_with_many_copies(spark):
+    docs = table(spark, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    one = docs.orderBy("doc_id").first()
+    copies = spark.range(10_000_000, 10_010_000).select(F.col("id").alias("doc_id"), F.lit(one.text).alias("text"), F.lit(one.lang).alias("lang"))
+    plain, many = langid.fit_languages(docs), langid.fit_languages(copies.union(docs))
+    assert plain.languages == many.languages and (plain.weights == many.weights).all()
+
+
+def test_a_damaged_media_file_gives_an_error(spark):
+    stored = media.store_media(spark.createDataFrame([(1, "abc"), (2, "x" * 500)], "doc_id long, text string"))
+    bad = stored.withColumn("media", F.when(F.col("doc_id") == 2, F.expr("substring(media, 1, 100)")).otherwise(F.col("media")))
+    got = {r.doc_id: r for r in media.load_media(bad).collect()}
+    assert got[1].error is None and got[1].payload[:3] == b"abc" and got[2].payload is None and got[2].error
+
+
+@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (4.0, 0.97), (6.0, 0.9)])
+def test_recall_of_the_relaxed_search(spark, factor, least):
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet")
+    ask = rows.where("vec_id % 100 = 0")
+    exact = {(r.query_id, r.vec_id) for r in vptree.nearest(rows, ask).collect()}
+    found = {(r.query_id, r.vec_id) for r in vptree.nearest(rows, ask, factor=factor).collect()}
+    assert len(exact & found) >= least * len(exact)
