@@ -1,4 +1,4 @@
-"""What the training-data operators share: table reading and durable checkpoints."""
+"""What the training-data operators share: table reading and tables that cut the lineage."""
 
 from __future__ import annotations
 
@@ -25,17 +25,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage by a table written to the shared folder, and free the shuffle files behind it.
 
-    For large intermediate results: the table is columnar and compressed, and Spark removes the
-    shuffle files of the job that wrote it when the write has ended.
+    The rows are made once (a checkpoint makes them twice), the table is columnar and compressed, and
+    Spark removes the shuffle files of the job that wrote it when the write has ended.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
@@ -49,6 +43,9 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+durable = written  # every step that cuts its lineage does it the same way
+
+
 @contextmanager
 def bucketed_table(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
     """A table in the warehouse bucketed by `columns`, dropped at the end; joins and groups by them read it without a shuffle.

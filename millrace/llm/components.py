@@ -2,7 +2,7 @@
 
 Every step is a grouped minimum (combined before the shuffle) and an equi-join, so a node with very
 many neighbours is a skewed join key, which AQE splits, and never one task's whole input. The edge
-table is checkpointed once per round; rounds grow with the logarithm of the longest path.
+table is written once per round; rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations

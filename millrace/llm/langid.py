@@ -133,9 +133,11 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     sample.sort(key=lambda r: (r["lang"], r["x"]))
     place = {k: i for i, k in enumerate(languages)}
     code = codewords(len(languages))
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in sample]).astype(np.float32)
     y = code[[place[r["lang"]] for r in sample]]
-    del sample
+    x = np.empty((len(sample), len(ORDERS) << BITS), dtype=np.float32)
+    for i in range(len(sample)):
+        x[i] = np.frombuffer(sample[i]["x"], dtype=np.float16)
+        sample[i] = None
     mean = x.mean(0)
     x -= mean
     inverse = np.linalg.inv(x @ x.T + RIDGE * max(1.0, len(x) / 100) * np.eye(len(x), dtype=np.float32))
