@@ -127,9 +127,12 @@ def string_kind(c: Column) -> Column:
 
 
 # Status words.
-GOOD = ("active", "available", "running", "healthy", "ok", "enabled", "succeeded", "complete", "completed", "ready", "passed", "f")
-WARN = ("pending", "starting", "stopping", "updating", "creating", "deleting", "warning", "degraded", "unknown", "p")
-BAD = ("failed", "error", "stopped", "terminated", "unhealthy", "disabled", "deleted", "rejected", "critical", "o")
+GOOD = ("running", "succeeded", "success", "successful", "available", "active", "ready", "healthy", "ok", "in-use", "in_use", "enabled", "completed", "complete", "bound", "true",
+        "online", "attached", "associated", "issued", "create_complete", "update_complete", "deployed", "passing", "vm running")
+WARN = ("stopped", "stopping", "pending", "creating", "updating", "deleting", "starting", "rebooting", "modifying", "deallocated", "deallocating", "provisioning", "in_progress",
+        "in-progress", "warning", "degraded", "impaired", "inactive", "shutting-down", "unknown", "detaching", "attaching", "vm deallocated", "vm stopped")
+BAD = ("terminated", "failed", "failure", "error", "errored", "deleted", "unhealthy", "disabled", "critical", "rejected", "crashloopbackoff", "create_failed", "rollback_complete",
+       "lost", "evicted", "offline")
 
 
 def status_tone(key: Column, value: Column) -> Column:

@@ -17,6 +17,7 @@ VALUES = {
 KEYS = {
     "secret key": r"secret_?access_?key|secret_?key$",
     "session token": r"session_?token",
+    "token": r"(^|_)token$",
     "password": r"passw(or)?d|passphrase|api_?key|client_?secret|auth_?token",
 }
 METADATA = r"(expir|age|policy|length|arn|_?id|enabled|rotation|version|count|type)$"
@@ -40,13 +41,27 @@ def secret_kind(key: Column, value: Column, rules: dict[str, tuple[str, str]] |
     return out
 
 
+#: A key and its value in a line of text: `key = "value"`, `key: value`.
+ASSIGNED = r"""([A-Za-z_][A-Za-z0-9_.-]*)["']?\s*[:=]\s*["']?([^\s"',;]{4,})"""
+
+
+def line_secret(line: Column) -> Column:
+    """The kind of secret in a line of text: by its form anywhere, else that of the first assigned value that is one (O1)."""
+    keys, values = (F.regexp_extract_all(line, F.lit(ASSIGNED), i) for i in (1, 2))
+    assigned = F.filter(F.zip_with(keys, values, lambda k, v: secret_kind(k, v)), lambda k: k.isNotNull())
+    return F.coalesce(secret_kind(F.lit(""), line), F.when(line.rlike("[:=]"), F.get(assigned, F.lit(0))))
+
+
 def mask(c: Column) -> Column:
     """Stars, with the last four characters of values of 12 or more."""
     return F.when(F.char_length(c) >= 12, F.concat(F.lit("********"), F.substring(c, -4, 4))).otherwise("********")
 
 
 def redact_text(c: Column) -> Column:
-    """Every secret of a recognised form in a text replaced by [REDACTED kind]."""
+    """Every secret of a recognised form, and every value assigned to a secret's key, replaced by [REDACTED kind]."""
     for kind, pattern in VALUES.items():
         c = F.regexp_replace(c, pattern, f"[REDACTED {kind}]")
+    for kind, pattern in KEYS.items():
+        key = pattern.replace("(", "(?:").replace("$", "").replace("^|_", r"\b|[_-]")
+        c = F.regexp_replace(c, rf"""(?i)((?:{key})["']?\s*[:=]\s*["']?)(?!{MASKED[1:]})[^\s"',;]{{4,}}""", f"$1[REDACTED {kind}]")
     return c

@@ -79,7 +79,7 @@ def upsert_plan(stored: DataFrame, incoming: DataFrame, key: list[str], hash_col
 
 def apply_upsert(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """The stored rows after the plan: incoming rows replace and add, absent ones go."""
-    return incoming.unionByName(stored.join(incoming.select(*key), key, "left_anti").limit(0))
+    return incoming.select(*stored.columns)
 
 
 def detect_changes(before: DataFrame, after: DataFrame, key: list[str], group: str, failed: DataFrame, hash_col: str = "hash") -> DataFrame:

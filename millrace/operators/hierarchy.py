@@ -27,28 +27,37 @@ def extend_numbers(numbered: DataFrame, added: DataFrame, parent: str, order: st
     return added.join(last, parent, "left").withColumn("place", F.coalesce("_m", F.lit(0)) + n).drop("_m")
 
 
-def descendants(df: DataFrame, id_col: str, parent: str, roots: DataFrame, most: int = 100) -> DataFrame:
-    """(root, id, depth): every root with all that lies below it; cycles end (N22). roots: root."""
+def descendants(df: DataFrame, id_col: str, parent: str, roots: DataFrame) -> DataFrame:
+    """(root, id, depth): every root with all that lies below it; cycles end (N22). roots: root.
+
+    A tree deeper than `spark.sql.cteRecursionLevelLimit` raises an error; set that higher for one.
+    """
     df.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     edges = df.select(F.col(id_col).alias("id"), F.col(parent).alias("parent"))
     found = df.sparkSession.sql(
         f"""WITH RECURSIVE t(root, id, depth, seen) AS (
              SELECT root, root, 0, array(root) FROM {{r}}
              UNION ALL SELECT t.root, e.id, t.depth + 1, concat(t.seen, array(e.id)) FROM t JOIN {{e}} e ON e.parent = t.id
-             WHERE NOT array_contains(t.seen, e.id) AND t.depth < {most - 1})
+             WHERE NOT array_contains(t.seen, e.id))
            SELECT root, id, depth FROM t""",
         r=roots, e=edges,
     )
     return found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
 
 
-def top_most(df: DataFrame, id_col: str, parent: str, rounds: int = 20) -> DataFrame:
-    """(id, top): the highest ancestor of every node, by pointer doubling in at most `rounds` joins."""
+def top_most(df: DataFrame, id_col: str, parent: str) -> DataFrame:
+    """(id, top): the highest ancestor of every node, by pointer doubling until no pointer moves.
+
+    The rounds grow with the logarithm of the depth. Raises ValueError on a cycle, whose nodes have no top.
+    """
     up = df.select(F.col(id_col).alias("id"), F.coalesce(parent, id_col).alias("top"))
-    for _ in range(max(1, rounds.bit_length())):
+    for _ in range(64):  # depths to 2 ** 64
         above = up.select(F.col("id").alias("_i"), F.col("top").alias("_t"))
-        up = up.join(above, F.col("top") == F.col("_i"), "left").select("id", F.coalesce("_t", "top").alias("top"))
-    return up
+        both = up.join(above, F.col("top") == F.col("_i"), "left")
+        if both.where("_t <> top").isEmpty():
+            return up
+        up = both.select("id", F.coalesce("_t", "top").alias("top"))
+    raise ValueError("the parents form a cycle")
 
 
 def page_layout(pages: DataFrame, titles: DataFrame) -> DataFrame:

@@ -150,15 +150,16 @@ def environment(c: Column) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, -1))
 
 
-def category(c: Column) -> Column:
+def category(c: Column, rules: dict[str, str] = CATEGORIES) -> Column:
+    """The first category whose pattern a name matches, else `other`; rules: (category, pattern) in order of priority."""
     out = None
-    for name, pattern in CATEGORIES.items():
+    for name, pattern in rules.items():
         out = (F if out is None else out).when(F.lower(c).rlike(pattern), name)
     return out.otherwise("other")
 
 
-def accounts_by_category(df: DataFrame, name: str) -> DataFrame:
+def accounts_by_category(df: DataFrame, name: str, rules: dict[str, str] = CATEGORIES) -> DataFrame:
     """(category, names): names of each category in order of environment, then name."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(e) for e in ENVIRONMENTS]), environment(F.col(name))), F.lit(0))
-    own = df.select(category(F.col(name)).alias("category"), F.struct(F.when(rank == 0, 99).otherwise(rank).alias("r"), F.col(name).alias("name")).alias("x"))
+    own = df.select(category(F.col(name), rules).alias("category"), F.struct(F.when(rank == 0, 99).otherwise(rank).alias("r"), F.col(name).alias("name")).alias("x"))
     return own.groupBy("category").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))

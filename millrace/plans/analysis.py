@@ -125,7 +125,7 @@ def clean_names(spark, sf):
 
 
 def sides_paired(spark, sf):
-    source, target = (d.where("s_suppkey % 5 > 0") for d in _sides(spark, sf))
+    source, target = _sides(spark, sf)
     unlisted = spark.range(1).select(F.lit(3).cast("int").alias("s_nationkey"))
     return pair_sides(source, target, ["s_nationkey", "name"], "s_suppkey", unlisted)
 
@@ -199,7 +199,7 @@ def rule_rows(spark, sf):
 
 
 def open_to_world(spark, sf):
-    rules = _rules(spark, sf).withColumn("action", F.when(F.col("group") % 2 == 0, "deny"))
+    rules = _rules(spark, sf).withColumn("action", F.when(F.col("group") % 3 == 0, "deny"))
     return net.open_to_world(rules).select("group", "ports", "protocol")
 
 
@@ -226,7 +226,7 @@ def follow_routes(spark, sf):
 
 
 def hop_paths(spark, sf):
-    hops = table(spark, sf, "lineitem").where("l_orderkey < 300").select(F.col("l_orderkey").alias("path"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")).alias("n"), F.col("l_suppkey").cast("string").alias("hop"), F.element_at(F.create_map(F.lit("A"), F.lit("PASS"), F.lit("N"), F.lit("UNKNOWN"), F.lit("R"), F.lit("FAIL")), F.col("l_returnflag")).alias("verdict"))
+    hops = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")).alias("n"), F.col("l_suppkey").cast("string").alias("hop"), F.element_at(F.create_map(F.lit("A"), F.lit("PASS"), F.lit("N"), F.lit("UNKNOWN"), F.lit("R"), F.lit("FAIL")), F.col("l_returnflag")).alias("verdict"))
     return net.paths(hops)
 
 
@@ -280,7 +280,7 @@ def descendants(spark, sf):
 
 
 def top_most(spark, sf):
-    return hierarchy.top_most(_tree(spark, sf), "id", "parent", 4)
+    return hierarchy.top_most(_tree(spark, sf), "id", "parent")
 
 
 def page_layout(spark, sf):
@@ -304,8 +304,7 @@ def branch_context(spark, sf):
 
 def secret_scan(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    kind = secrets.secret_kind(F.lit(""), F.col("line"))
-    return lines.withColumn("kind", kind).where("kind IS NOT NULL").select("doc_id", "n", "kind")
+    return lines.withColumn("kind", secrets.line_secret(F.col("line"))).where("kind IS NOT NULL").select("doc_id", "n", "kind")
 
 
 def redact_text(spark, sf):
@@ -364,8 +363,8 @@ ORACLE = {
     "clean_names": f"SELECT s_suppkey, name FROM {A}",
     "sides_paired": f"""SELECT coalesce(a.s_nationkey, b.s_nationkey) AS s_nationkey, coalesce(a.name, b.name) AS name, a.s_suppkey AS source_id, b.s_suppkey AS target_id,
       CASE WHEN coalesce(a.s_nationkey, b.s_nationkey) = 3 THEN 'not compared' WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' ELSE 'paired' END AS status
-      FROM (SELECT * FROM {A} WHERE s_suppkey % 5 > 0) a FULL JOIN (SELECT * FROM {B} WHERE s_suppkey % 5 > 0) b ON a.name = b.name AND a.s_nationkey = b.s_nationkey""",
-    "suffix_aliases": "SELECT 'blue' AS a, 'green' AS b, count(*) AS votes FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0",
+      FROM {A} a FULL JOIN {B} b ON a.name = b.name AND a.s_nationkey = b.s_nationkey""",
+    "suffix_aliases": "SELECT 'blue' AS a, 'green' AS b, count(*) AS votes FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0 HAVING count(*) >= 2",
     "compare_report": "SELECT s_suppkey, unnest(CASE WHEN s_suppkey % 4 = 0 THEN ['balance', 'raw'] ELSE ['raw'] END) AS field, unnest(CASE WHEN s_suppkey % 4 = 0 THEN [false, true] ELSE [true] END) AS expected FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0",
     "compare_counts": "SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'different' ELSE 'expected' END AS verdict, count(*) AS n FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0 GROUP BY 1",
     "normalised_refs": "SELECT l_orderkey, l_linenumber, CASE WHEN s_suppkey IS NULL THEN '<unpaired id>' ELSE '<group:' || lower(s_name) || '>' END AS normal FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey",
@@ -376,7 +375,7 @@ ORACLE = {
     "cidr_join": f"SELECT c_custkey, count(*) AS n FROM {NET} n JOIN {ROUTES} r ON n.b = r.b AND (len = 16 OR n.c // 16 = r.c // 16) GROUP BY 1",
     "address_facts": f"SELECT cidr, '10.' || b || '.' || c || '.10' AS address, 'block' || CASE WHEN b < 16 THEN 1 WHEN b < 32 THEN 2 ELSE 3 END || '+' || ((b - CASE WHEN b < 16 THEN 0 WHEN b < 32 THEN 16 ELSE 32 END) * 65536 + c * 256) || '/' || len AS place, true AS covered, true AS protocol FROM {ROUTES}",
     "rule_rows": f"SELECT \"group\", protocol, 'cidr' AS peer_type, count(*) AS n FROM {RULES} GROUP BY ALL UNION ALL SELECT \"group\", protocol, 'group', count(*) FROM {RULES} WHERE k % 5 = 0 GROUP BY ALL UNION ALL SELECT \"group\", protocol, 'prefix list', count(*) FROM {RULES} WHERE k % 11 = 0 GROUP BY ALL",
-    "open_to_world": f"SELECT \"group\", ports, protocol FROM {RULES} WHERE k % 4 = 0 AND \"group\" % 2 = 1",
+    "open_to_world": f"SELECT \"group\", ports, protocol FROM {RULES} WHERE k % 4 = 0 AND \"group\" % 3 <> 0",
     "group_check": f"""WITH f AS (SELECT c_custkey AS flow, c_custkey % 45 AS g, c_custkey % 50 AS port, b FROM {NET}),
       m AS (SELECT flow, r.k, (protocol = '-1' OR (port >= lo AND port <= hi)) AS c, k % 4 = 0 OR k % 60 = b AS inside FROM f LEFT JOIN {RULES} r ON r."group" = g)
       SELECT flow, CASE WHEN bool_or(c AND inside) THEN 'PASS' WHEN bool_or(k IS NULL OR (c AND (k % 5 = 0 OR k % 11 = 0))) THEN 'UNKNOWN' ELSE 'FAIL' END AS verdict FROM m GROUP BY 1""",
@@ -384,7 +383,7 @@ ORACLE = {
       m AS (SELECT flow, s_suppkey AS n, CASE WHEN s_suppkey % 3 = 0 THEN 'deny' ELSE 'allow' END AS a FROM f JOIN supplier ON s_suppkey % 9 = acl AND s_suppkey % 4 <> 0 AND port BETWEEN s_suppkey % 20 AND s_suppkey % 20 + 15 AND b // 8 = s_suppkey % 8)
       SELECT c_custkey AS flow, min(n) AS rule, coalesce(arg_min(a, n), 'deny') AS action FROM customer LEFT JOIN m ON flow = c_custkey GROUP BY 1""",
     "follow_routes": """SELECT s_suppkey AS start, '10.1.2.3' AS ip, CASE WHEN s_nationkey = 0 THEN 1 ELSE 5 - s_nationkey % 5 END::INT AS hops, CASE WHEN s_nationkey = 0 THEN 'UNKNOWN' ELSE 'igw-1' END AS "end" FROM supplier""",
-    "hop_paths": "SELECT l_orderkey AS path, string_agg(CAST(l_suppkey AS VARCHAR), ' > ' ORDER BY l_partkey, l_suppkey, l_linenumber) AS hops, CASE WHEN bool_or(l_returnflag = 'R') THEN 'FAIL' WHEN bool_or(l_returnflag = 'N') THEN 'UNKNOWN' ELSE 'PASS' END AS verdict FROM lineitem WHERE l_orderkey < 300 GROUP BY 1",
+    "hop_paths": "SELECT l_orderkey AS path, string_agg(CAST(l_suppkey AS VARCHAR), ' > ' ORDER BY l_partkey, l_suppkey, l_linenumber) AS hops, CASE WHEN bool_or(l_returnflag = 'R') THEN 'FAIL' WHEN bool_or(l_returnflag = 'N') THEN 'UNKNOWN' ELSE 'PASS' END AS verdict FROM lineitem GROUP BY 1",
     "worst_verdict": "SELECT l_suppkey, CASE WHEN max(l_quantity) > 49 THEN 'FAIL' WHEN max(l_quantity) > 30 THEN 'UNKNOWN' ELSE 'PASS' END AS worst FROM lineitem GROUP BY 1",
     "dns_order": """WITH r AS (SELECT n_regionkey AS vpc, lower(n_name) || '.corp.example' AS domain, 'zone' AS kind, 2 AS o FROM nation UNION ALL SELECT n_regionkey, lower(n_name) || '.corp.example', 'forward', 1 FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT DISTINCT n_regionkey, '.', 'public', 3 FROM nation)
       SELECT vpc, CAST(row_number() OVER (PARTITION BY vpc ORDER BY domain = '.', o, domain) AS INT) AS place, domain, kind FROM r""",

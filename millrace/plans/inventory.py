@@ -39,7 +39,7 @@ def wanted_not_excluded(spark, sf):
     t = table(spark, sf, "events")
     key = lambda kind: t.where(F.col("event_type") == kind).select("user_id").distinct()
     users = t.select("user_id", F.date_trunc("day", "ts").alias("day")).distinct()
-    return joins.only_matching(users, key("purchase"), t.where("value > 95").select("user_id").distinct(), "user_id")
+    return joins.only_matching(users, key("purchase"), t.where("value > 200").select("user_id").distinct(), "user_id")
 
 
 def people_roles(spark, sf):
@@ -99,7 +99,7 @@ def name_category(spark, sf):
 
 
 def common_roles(spark, sf):
-    return stats.common_roles(table(spark, sf, "part").where("p_size < 3"), "p_name")
+    return stats.common_roles(table(spark, sf, "part"), "p_name")
 
 
 def mean_durations(spark, sf):
@@ -180,7 +180,7 @@ def twin_names(spark, sf):
 
 def pr_trace(spark, sf):
     o, e = table(spark, sf, "orders"), table(spark, sf, "events")
-    commits = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("commit"), F.col("l_orderkey").alias("pr")).where("pr < 500")
+    commits = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("commit"), F.col("l_orderkey").alias("pr"))
     pulls = o.select(F.col("o_orderkey").alias("pr"), F.col("o_orderpriority").alias("title"))
     acts = e.select((F.col("event_id") % 500).alias("pr"), F.when(F.col("event_type") == "purchase", "MERGED").otherwise("APPROVED").alias("action"), F.col("event_id").alias("at"), F.col("user_id").alias("person"))
     return joins.pr_trace(commits, pulls, acts)
@@ -237,7 +237,7 @@ def change_log(spark, sf):
 
 def field_diff(spark, sf):
     doc = lambda d: d.select("c_custkey", parse(F.to_json(F.struct("c_name", "c_acctbal", F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("seg")))).alias("j"))
-    before, after = (doc(d.where("c_custkey < 10000000")) for d in _customers(spark, sf))
+    before, after = (doc(d) for d in _customers(spark, sf))
     return changes.field_diff(before, after, ["c_custkey"], "j").select("c_custkey", "path", "op")
 
 
@@ -366,7 +366,7 @@ ORACLE = {
     "left_join_names": "SELECT o_custkey AS c_custkey, o_orderkey, c_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
     "uses_used_by": "SELECT l_partkey, count(DISTINCT l_suppkey) AS used_by, min(l_suppkey) AS first FROM lineitem GROUP BY 1",
     "links_out": "SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON l_suppkey = s_suppkey",
-    "wanted_not_excluded": "SELECT DISTINCT user_id, date_trunc('day', ts) AS day FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND user_id NOT IN (SELECT user_id FROM events WHERE value > 95)",
+    "wanted_not_excluded": "SELECT DISTINCT user_id, date_trunc('day', ts) AS day FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND user_id NOT IN (SELECT user_id FROM events WHERE value > 200)",
     "people_roles": "SELECT person, count(*) FILTER (r = 'w') AS written, count(*) FILTER (r = 'u') AS updated FROM (SELECT event_id % 50 AS person, 'w' AS r FROM events UNION ALL SELECT user_id, 'u' FROM events) GROUP BY 1",
     "people": PEOPLE,
     "people_identity": f"SELECT CAST(person AS VARCHAR) AS identity, count(DISTINCT event_type) AS repos, CAST(sum(files) AS BIGINT) AS files FROM ({PEOPLE}) GROUP BY 1",
@@ -383,7 +383,7 @@ ORACLE = {
     "env_words": """WITH s AS (SELECT 'app-' || ['dev','prod','test','x'][s_suppkey % 4 + 1] || '-' || s_suppkey AS name, ['dev','prod','test','x'][s_suppkey % 4 + 1] AS word FROM supplier),
       c AS (SELECT word, count(*) AS n, min(name) AS example FROM s WHERE word <> 'x' GROUP BY 1) SELECT *, n >= greatest(2, max(n) OVER () * 0.2) AS main FROM c""",
     "name_category": "SELECT p_partkey, [ 'prod', 'dev', NULL, NULL ][p_partkey % 4 + 1] AS environment, ['security','network','data','other'][p_partkey % 4 + 1] AS category FROM part",
-    "common_roles": "SELECT p_name, n, rank FROM (SELECT p_name, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_name) AS INT) AS rank FROM part WHERE p_size < 3 GROUP BY 1) WHERE rank = 1 OR n > 1",
+    "common_roles": "SELECT p_name, n, rank FROM (SELECT p_name, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_name) AS INT) AS rank FROM part GROUP BY 1) WHERE rank = 1 OR n > 1",
     "mean_durations": "SELECT event_type, count(*) AS runs, avg(value) AS mean FROM events GROUP BY 1",
     "unread": "SELECT page_id, coalesce(n, 0) AS n FROM pages LEFT JOIN (SELECT event_id % 300 AS p, count(*) AS n FROM events WHERE NOT value > 50 GROUP BY 1) ON p = page_id",
     "run_summary": "SELECT v AS view, c AS click, e AS error, 10000 - v - c - e AS unchanged FROM (SELECT count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS e FROM events WHERE event_id > 500)",
@@ -402,7 +402,7 @@ ORACLE = {
     "first_reason": "SELECT c_custkey, CASE WHEN c_acctbal > 8000 THEN 'rich' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'big order' ELSE 'building' END AS reason FROM customer WHERE c_acctbal > 8000 OR c_mktsegment = 'BUILDING' OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "keyword_accounts": "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'project' ELSE 'shared' END AS kind FROM part WHERE p_name LIKE '%ring%' OR p_name LIKE '%widget%'",
     "twin_names": "SELECT 'app-dev-' || (s_suppkey // 2) AS a, 'app-prod-' || (s_suppkey // 2) AS b FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)",
-    "pr_trace": """WITH c AS (SELECT DISTINCT l_partkey AS commit, l_orderkey AS pr FROM lineitem WHERE l_orderkey < 500 AND l_orderkey IN (SELECT o_orderkey FROM orders)),
+    "pr_trace": """WITH c AS (SELECT DISTINCT l_partkey AS commit, l_orderkey AS pr FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
       m AS (SELECT event_id % 500 AS pr, max(event_id) AS merged FROM events WHERE event_type = 'purchase' GROUP BY 1), r AS (SELECT event_id % 500 AS pr, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY event_id) AS reviewers FROM events WHERE event_type <> 'purchase' GROUP BY 1)
       SELECT commit, pr, merged, coalesce(reviewers, '') AS reviewers FROM c LEFT JOIN m USING (pr) LEFT JOIN r USING (pr)""",
     "weekday_histogram": "SELECT CAST(d + 1 AS INT) AS weekday, (SELECT count(*) FROM events WHERE ts >= '2024-01-03' AND ts < '2024-01-24' AND dayofweek(ts) = d) AS n FROM range(0, 7) t(d)",
@@ -417,7 +417,8 @@ ORACLE = {
       FROM customer b FULL JOIN {AFTER} a ON a.c_custkey = b.c_custkey) WHERE action IS NOT NULL AND NOT (action = 'removed' AND c_mktsegment = 'BUILDING')""",
     "field_diff": """WITH b AS (SELECT c_custkey AS k, c_acctbal AS x, c_acctbal + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS y, c_custkey % 11 = 0 AS gone FROM customer)
       SELECT k AS c_custkey, '.c_name' AS path, 'removed' AS op FROM b WHERE gone UNION ALL SELECT k, '.c_acctbal', CASE WHEN gone THEN 'removed' ELSE 'changed' END FROM b WHERE gone OR x <> y
-      UNION ALL SELECT k, '.seg', CASE WHEN gone OR y <= 5000 THEN 'removed' ELSE 'added' END FROM b WHERE (gone AND x > 5000) OR (NOT gone AND (x > 5000) <> (y > 5000))""",
+      UNION ALL SELECT k, '.seg', CASE WHEN gone OR y <= 5000 THEN 'removed' ELSE 'added' END FROM b WHERE (gone AND x > 5000) OR (NOT gone AND (x > 5000) <> (y > 5000))
+      UNION ALL SELECT c_custkey + 10000000, unnest(CASE WHEN c_acctbal > 5000 THEN ['.c_name', '.c_acctbal', '.seg'] ELSE ['.c_name', '.c_acctbal'] END), 'added' FROM customer WHERE c_custkey % 13 = 0""",
     "document_hash": "SELECT event_id, sha256('.k=' || json_extract_string(props, '$.k')) AS hash FROM events",
     "log_append": "SELECT event_id, strftime(ts, '%Y%m%d') AS run FROM events WHERE strftime(ts, '%Y%m%d') > '20240115'",
     "changed_since": "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND strftime(ts, '%Y%m%d') >= '20240128'",

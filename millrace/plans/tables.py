@@ -173,8 +173,13 @@ def string_kinds(spark, sf):
     return urls.union(days).union(names).union(ips).groupBy(json.string_kind(F.col("s")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _state():
+    """The order codes of the tables as status words."""
+    return F.element_at(F.create_map(F.lit("F"), F.lit("Completed"), F.lit("P"), F.lit("pending"), F.lit("O"), F.lit("failed")), F.col("o_orderstatus"))
+
+
 def status_tones(spark, sf):
-    return table(spark, sf, "orders").groupBy(json.status_tone(F.lit("orderStatus"), F.col("o_orderstatus")).alias("tone")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "orders").groupBy(json.status_tone(F.lit("orderStatus"), _state()).alias("tone")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def found_ids(spark, sf):
@@ -213,7 +218,7 @@ def tag_coverage(spark, sf):
 
 def dashboard(spark, sf):
     rows = table(spark, sf, "orders").withColumn("none", F.lit(None).cast("string"))
-    return ops.dashboard(rows, {"state": ["none", "o_orderstatus"], "kind": ["o_orderpriority"]}, json.status_tone(F.lit("status"), F.col("o_orderstatus")))
+    return ops.dashboard(rows, {"state": ["none", "o_orderstatus"], "kind": ["o_orderpriority"]}, json.status_tone(F.lit("status"), _state()))
 
 
 def newest_n(spark, sf):
