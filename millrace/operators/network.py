@@ -160,3 +160,123 @@ def cluster_summary(clusters: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cluster, subnets, nodes, groups, public) (N18). clusters: cluster, subnets array, public; nodes: cluster, node, group."""
     n = nodes.groupBy("cluster").agg(F.count_distinct("node").alias("nodes"), F.count_distinct("group").alias("groups"))
     return clusters.join(n, "cluster", "left").select("cluster", F.size("subnets").cast("long").alias("subnets"), F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("groups", F.lit(0)).alias("groups"), "public")
+
+
+def acl_rules(acls: DataFrame, id_col: str, entries: str) -> DataFrame:
+    """(acl, direction, place, number, action, protocol, ports, cidr): entries of access lists in order.
+
+    entries: array<struct<number, egress, action, protocol, from_port, to_port, cidr, cidr6>>.
+    """
+    e = acls.select(F.col(id_col).alias("acl"), F.explode(entries).alias("e")).select("acl", "e.*")
+    ports = F.when(F.col("from_port").isNull(), "all").when(F.col("from_port") == F.col("to_port"), F.col("from_port").cast("string")).otherwise(F.concat_ws("-", "from_port", "to_port"))
+    rows = e.withColumn("direction", F.when(F.col("egress"), "out").otherwise("in"))
+    place = F.row_number().over(Window.partitionBy("acl", "direction").orderBy("number"))
+    protocol = F.when(F.col("protocol") == "-1", "all").otherwise(F.col("protocol"))
+    return rows.select("acl", "direction", place.alias("place"), "number", "action", protocol.alias("protocol"), ports.alias("ports"), F.coalesce("cidr", "cidr6").alias("cidr"))
+
+
+# Protocol numbers and the peers that mean everyone.
+PROTOCOLS = {"-1": "All", "6": "TCP", "17": "UDP", "1": "ICMP", "tcp": "TCP", "udp": "UDP", "icmp": "ICMP"}
+ANYONE = r"(?i)^(0\.0\.0\.0/0|::/0|\*|Internet|Any)$"
+
+
+def rule_rows(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
+    """(id, direction, place, access, protocol, ports, source, description, open): rules of either vendor's documents.
+
+    Permission lists give a row for each peer, or one of peer `—` without peers; lists with priorities
+    are numbered by them. open: anyone may come in (or, of permission lists, go out).
+    """
+    protocol = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PROTOCOLS.items() for x in kv]), F.lower(c)), c, F.lit("All"))
+    columns = ["id", "direction", "place", "access", "protocol", "ports", "source", "description", "open"]
+    rule = (
+        "array<struct<IpProtocol:string,FromPort:int,ToPort:int,IpRanges:array<struct<CidrIp:string,Description:string>>,Ipv6Ranges:array<struct<CidrIpv6:string,Description:string>>,"
+        "UserIdGroupPairs:array<struct<GroupId:string,GroupName:string,Description:string>>,PrefixListIds:array<struct<PrefixListId:string,Description:string>>>>"
+    )
+    peer = lambda source, description: F.struct(source.alias("source"), description.alias("description"))
+    parts = []
+    for direction, key in (("Inbound", "IpPermissions"), ("Outbound", "IpPermissionsEgress")):
+        r = df.select(F.col(id_col).alias("id"), F.posexplode(F.try_variant_get(value_col, f"$.{key}", rule)).alias("n", "r"))
+        lists = [
+            F.transform("r.IpRanges", lambda x: peer(x["CidrIp"], x["Description"])), F.transform("r.Ipv6Ranges", lambda x: peer(x["CidrIpv6"], x["Description"])),
+            F.transform("r.UserIdGroupPairs", lambda x: peer(F.concat(x["GroupId"], F.coalesce(F.concat(F.lit(" ("), x["GroupName"], F.lit(")")), F.lit(""))), x["Description"])),
+            F.transform("r.PrefixListIds", lambda x: peer(x["PrefixListId"], x["Description"])),
+        ]
+        none = F.array().cast("array<struct<source:string,description:string>>")
+        peers = F.concat(*[F.coalesce(x, none) for x in lists])
+        blank = F.array(peer(F.lit("—"), F.lit("")))
+        r = r.select("id", "n", "r", F.posexplode(F.when(F.size(peers) > 0, peers).otherwise(blank)).alias("m", "p"))
+        ports = F.when(F.col("r.FromPort").isNull() | (F.col("r.FromPort") == -1), "All").when(F.col("r.ToPort").isNull() | (F.col("r.FromPort") == F.col("r.ToPort")), F.col("r.FromPort").cast("string")).otherwise(F.concat_ws("–", "r.FromPort", "r.ToPort"))
+        place = F.row_number().over(Window.partitionBy("id").orderBy("n", "m"))
+        parts.append(r.select("id", F.lit(direction).alias("direction"), place.alias("place"), F.lit("Allow").alias("access"), protocol(F.col("r.IpProtocol")).alias("protocol"), ports.alias("ports"), F.col("p.source").alias("source"), F.coalesce("p.description", F.lit("")).alias("description"), F.coalesce(F.col("p.source").rlike(ANYONE), F.lit(False)).alias("open")))
+    body = "direction:string,access:string,priority:int,protocol:string,destinationPortRange:string,destinationPortRanges:array<string>,sourceAddressPrefix:string,sourceAddressPrefixes:array<string>"
+    both = F.coalesce(*[F.try_variant_get(value_col, p, f"array<struct<name:string,{body},properties:struct<{body}>>>") for p in ("$.securityRules", "$.properties.securityRules")])
+    r = df.select(F.col(id_col).alias("id"), F.posexplode(both).alias("n", "r"))
+    r = r.select("id", "n", F.coalesce("r.priority", "r.properties.priority", F.lit(0)).alias("by"), F.col("r.name").alias("name"), *[F.when(F.col("r.properties").isNotNull(), F.col(f"r.properties.{k}")).otherwise(F.col(f"r.{k}")).alias(k) for k in (f.split(":")[0] for f in body.split(","))])
+    direction = F.when(F.col("direction") == "Outbound", "Outbound").otherwise("Inbound")
+    joined = lambda one, many, other: F.coalesce(F.nullif(F.col(one), F.lit("")), F.nullif(F.array_join(many, ", "), F.lit("")), F.lit(other))
+    source = joined("sourceAddressPrefix", "sourceAddressPrefixes", "—")
+    is_open = (direction == "Inbound") & (F.coalesce("access", F.lit("")) != "Deny") & source.rlike(ANYONE)
+    said = F.concat(F.coalesce("name", F.lit("")), F.coalesce(F.concat(F.lit(" · priority "), F.col("priority").cast("string")), F.lit("")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("by", "n"))
+    parts.append(r.select("id", direction.alias("direction"), place.alias("place"), F.coalesce(F.nullif(F.col("access"), F.lit("")), F.lit("Allow")).alias("access"), protocol(F.col("protocol")).alias("protocol"), joined("destinationPortRange", "destinationPortRanges", "All").alias("ports"), source.alias("source"), said.alias("description"), is_open.alias("open")))
+    return parts[0].select(columns).union(parts[1].select(columns)).union(parts[2].select(columns))
+
+
+def resource_links(df: DataFrame, id_col: str, type_col: str, value_col: str, vpc_type: str = "ec2/vpcs") -> DataFrame:
+    """(id, kind, target): security groups, subnets and the VPC of each resource."""
+    ids = lambda path: F.transform(F.try_variant_get(value_col, path, "array<struct<id:string>>"), lambda x: x["id"])
+    vpc = F.when(F.col(type_col) != vpc_type, F.array_compact(F.array(F.coalesce(*[F.try_variant_get(value_col, p, "string") for p in ("$.VpcId", "$._network.vpc")]))))
+    none = F.array().cast("array<string>")
+    of = lambda kind, c: F.transform(F.coalesce(c, none), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
+    links = F.concat(of("security_group", ids("$._network.security_groups")), of("subnet", ids("$._network.subnets")), of("vpc", vpc))
+    return df.select(F.col(id_col).alias("id"), F.explode(links).alias("l")).select("id", "l.kind", "l.target").where("target IS NOT NULL")
+
+
+def dns_records(df: DataFrame, id_col: str, value_col: str) -> DataFrame:
+    """(id, zone, private, name, type, ttl, values, alias, status, addresses): records of hosted zones with their lookups."""
+    record = "array<struct<Name:string,Type:string,TTL:int,ResourceRecords:array<struct<Value:string>>,AliasTarget:struct<DNSName:string>,_lookup:struct<status:string,addresses:array<string>>>>"
+    zone = F.try_variant_get(value_col, "$.Name", "string")
+    private = F.coalesce(F.try_variant_get(value_col, "$.Config.PrivateZone", "boolean"), F.lit(False))
+    rows = df.select(F.col(id_col).alias("id"), zone.alias("zone"), private.alias("private"), F.explode(F.try_variant_get(value_col, "$._details.Records", record)).alias("r"))
+    none = F.array().cast("array<string>")
+    values = F.coalesce(F.transform("r.ResourceRecords", lambda x: x["Value"]), none)
+    return rows.select("id", "zone", "private", F.col("r.Name").alias("name"), F.col("r.Type").alias("type"), F.col("r.TTL").alias("ttl"), values.alias("values"), F.col("r.AliasTarget.DNSName").alias("alias"), F.col("r._lookup.status").alias("status"), F.coalesce("r._lookup.addresses", none).alias("addresses"))
+
+
+def next_attachments(tables: DataFrame, own: DataFrame) -> DataFrame:
+    """(table, why, attachment): where the project's traffic goes, and who is sent to it (H7).
+
+    tables: table, associations, propagations, targets, arrays of attachments; own: attachment, the project's.
+    """
+    columns = ("associations", "propagations", "targets")
+    long = tables.select("table", *[c for c in columns], F.explode(F.array(*[F.struct(F.lit(c).alias("role"), F.col(c).alias("ids")) for c in columns])).alias("x"))
+    met = long.select("table", "x.role", F.explode("x.ids").alias("attachment")).distinct()
+    mine = met.join(own.select("attachment").distinct(), "attachment", "left_semi").groupBy("table").agg(F.collect_set("role").alias("roles"), F.collect_set("attachment").alias("mine"))
+    found = tables.join(mine, "table")
+    none = F.array().cast(tables.schema["targets"].dataType)
+    sent = F.when(F.array_contains("roles", "associations"), F.array_except("targets", "mine")).otherwise(none)
+    calls = F.when(F.array_contains("roles", "targets"), F.array_except("associations", "mine")).otherwise(none)
+    parts = F.array(F.struct(F.lit("sent to").alias("why"), sent.alias("ids")), F.struct(F.lit("caller").alias("why"), calls.alias("ids")))
+    return found.select("table", F.explode(parts).alias("p")).select("table", "p.why", F.explode("p.ids").alias("attachment"))
+
+
+def endpoint_checks(clusters: DataFrame, endpoints: DataFrame, subnet_routes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(cluster, endpoint, service, type, verdict): which endpoints of its VPC a cluster may reach.
+
+    clusters: cluster, vpc, subnets, ip; endpoints: endpoint, vpc, service, type, route_tables, groups;
+    subnet_routes: subnet, table; rules as of `sg_rules`. Gateways need a route table of the cluster's
+    subnets, others a rule for TCP 443 from the cluster's address; the best of several groups counts.
+    """
+    service = F.regexp_replace("service", r"^com\.amazonaws\.(vpce\.)?[a-z0-9-]+\.", "")
+    met = clusters.join(endpoints, "vpc").select("cluster", "subnets", "ip", "endpoint", service.alias("service"), "type", "route_tables", "groups")
+    gateways = met.where("type = 'Gateway'")
+    used = gateways.select("cluster", "endpoint", F.explode("subnets").alias("subnet"), "route_tables").join(subnet_routes, "subnet").where(F.array_contains("route_tables", F.col("table"))).select("cluster", "endpoint").distinct()
+    columns = ["cluster", "endpoint", "service", "type"]
+    first = gateways.join(used.withColumn("_u", F.lit(True)), ["cluster", "endpoint"], "left").select(*columns, F.when(F.col("_u"), "PASS").otherwise("FAIL").alias("verdict"))
+    others = met.where("type <> 'Gateway'")
+    flow = F.struct("cluster", "endpoint", "group")
+    flows = others.select("cluster", "endpoint", F.explode("groups").alias("group"), F.col("ip").alias("peer_ip"), F.lit(443).alias("port"), F.lit("tcp").alias("protocol")).withColumn("flow", flow)
+    order = F.when(F.col("verdict") == "PASS", 0).when(F.col("verdict") == "UNKNOWN", 1).otherwise(2)
+    checked = sg_check(flows.select("flow", "group", "peer_ip", "port", "protocol"), rules).groupBy("flow.cluster", "flow.endpoint").agg(F.min_by("verdict", order).alias("verdict"))
+    second = others.join(checked, ["cluster", "endpoint"], "left").select(*columns, F.coalesce("verdict", F.lit("UNKNOWN")).alias("verdict"))
+    return first.unionByName(second)
