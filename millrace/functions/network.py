@@ -43,10 +43,21 @@ def block_size(cidr: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - prefix_length(cidr))
 
 
+def ip6_bits(ip: Column) -> Column:
+    """An IPv6 address as 128 characters 0 and 1; NULL for other text."""
+    halves = ip6_halves(ip)
+    bits = lambda half: F.lpad(F.conv(half.cast("string"), 10, 2), 64, "0")
+    return F.concat(bits(halves["high"]), bits(halves["low"]))
+
+
 def cidr_contains(cidr: Column, ip: Column) -> Column:
-    """Whether an IPv4 block holds an address."""
+    """Whether an IPv4 or IPv6 block holds an address; never across the two kinds."""
     n = ip_number(ip)
-    return (n >= cidr_low(cidr)) & (n < cidr_low(cidr) + block_size(cidr))
+    parts = F.split(cidr, "/")
+    length = F.coalesce(F.get(parts, 1).try_cast("int"), F.lit(128))
+    six = F.left(ip6_bits(F.get(parts, 0)), length) == F.left(ip6_bits(ip), length)
+    four = (n >= cidr_low(cidr)) & (n < cidr_low(cidr) + block_size(cidr))
+    return F.when(cidr.contains(":"), F.coalesce(six, F.lit(False))).otherwise(four)
 
 
 def address_in(cidr: Column, n: int = 10) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+from decimal import Decimal
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,12 +22,33 @@ def content_hash(columns: list[str], volatile: tuple[str, ...] = (), lists: tupl
     return F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)
 
 
+def _canonical(value, path: str, volatile: re.Pattern):
+    """JSON with sorted lists and without the members whose path (.a.b, lists as []) matches `volatile`."""
+    if isinstance(value, dict):
+        return {k: _canonical(v, f"{path}.{k}", volatile) for k, v in value.items() if not volatile.search(f"{path}.{k}")}
+    if isinstance(value, list):
+        return sorted((_canonical(v, path + "[]", volatile) for v in value), key=_text)
+    return value
+
+
+def _text(value) -> str:
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=lambda d: {"number": str(d)})
+
+
 def document_hash(df: DataFrame, id_cols: list[str], value_col: str, volatile: str = "(?!)") -> DataFrame:
-    """(id..., hash) of any JSON: leaves by index-free path, volatile keys dropped at any depth, sorted."""
-    w = walk(df, id_cols, value_col).where(~json_type(F.col("v")).isin("object", "array"))
-    flat = F.regexp_replace("path", r"\[\d+\]", "[]")
-    rows = w.where(~F.col("path").rlike(volatile)).select(*id_cols, F.concat(flat, F.lit("="), F.to_json("v")).alias("leaf"))
-    return rows.groupBy(*id_cols).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), "\n"), 256).alias("hash"))
+    """(id..., hash) of any JSON: SHA-256 of its canonical text, volatile keys dropped at any depth, list order ignored.
+
+    Lists are sorted as wholes, so elements that swap inner fields change the hash. Built-in
+    functions cannot recurse into values of unknown shape, so this is one Arrow-batched function of a
+    row's own value: no shuffle.
+    """
+    pattern = re.compile(volatile)
+
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _text(_canonical(json.loads(t, parse_float=Decimal), "", pattern)))
+
+    return df.select(*id_cols, F.sha2(canonical(F.to_json(value_col)), 256).alias("hash"))
 
 
 def field_diff(before: DataFrame, after: DataFrame, id_cols: list[str], value_col: str, limit: int = 200, ignore: Column | None = None) -> DataFrame:

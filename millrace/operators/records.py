@@ -79,6 +79,7 @@ def record_diff(before: DataFrame, after: DataFrame, id_cols: list[str], value_c
     path = "CASE WHEN w.path = '' AND e.part LIKE '.%' THEN substring(e.part, 2) ELSE w.path || e.part END"
     noisy = f"AND NOT ({path}) RLIKE '{ignore}'".replace("\\", "\\\\") if ignore else ""
     open_pair = "(schema_of_variant(a) LIKE 'OBJECT%' AND schema_of_variant(b) LIKE 'OBJECT%' OR schema_of_variant(a) LIKE 'ARRAY%' AND schema_of_variant(b) LIKE 'ARRAY%')"
+    before.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the default counts rows of all records
     rows = before.sparkSession.sql(
         f"""
         WITH RECURSIVE w({ids}, path, a, b, followed) AS (

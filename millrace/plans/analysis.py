@@ -242,7 +242,7 @@ def dns_order(spark, sf):
 
 
 def graph_edges(spark, sf):
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return net.graph_edges(rows, [("region", "n_regionkey", "nation", "n_nationkey"), ("nation", "n_nationkey", "customer", "c_custkey")])
 
 
@@ -286,7 +286,7 @@ def top_most(spark, sf):
 def page_layout(spark, sf):
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     step = lambda i, t: F.struct(i.alias("page_id"), t.alias("title"))
-    c = table(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     pages = c.select(F.col("c_custkey").alias("page_id"), F.array(step(F.concat(F.lit("r"), "n_regionkey"), F.lit("old")), step(F.concat(F.lit("n"), "n_nationkey"), F.col("n_name"))).alias("ancestors"))
     return hierarchy.page_layout(pages, r.select(F.concat(F.lit("r"), "r_regionkey").alias("page_id"), F.col("r_name").alias("title")))
 

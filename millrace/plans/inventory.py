@@ -130,7 +130,7 @@ def stored_bytes(spark, sf):
 
 def failed_items(spark, sf):
     failed = table(spark, sf, "orders").where("o_orderstatus = 'F'")
-    named = failed.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = failed.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return ops.top_k(named, 25, F.desc("o_orderdate"), F.col("o_orderkey")).select("o_orderkey", "c_name", "n_name")
 
 
@@ -419,7 +419,7 @@ ORACLE = {
       SELECT k AS c_custkey, '.c_name' AS path, 'removed' AS op FROM b WHERE gone UNION ALL SELECT k, '.c_acctbal', CASE WHEN gone THEN 'removed' ELSE 'changed' END FROM b WHERE gone OR x <> y
       UNION ALL SELECT k, '.seg', CASE WHEN gone OR y <= 5000 THEN 'removed' ELSE 'added' END FROM b WHERE (gone AND x > 5000) OR (NOT gone AND (x > 5000) <> (y > 5000))
       UNION ALL SELECT c_custkey + 10000000, unnest(CASE WHEN c_acctbal > 5000 THEN ['.c_name', '.c_acctbal', '.seg'] ELSE ['.c_name', '.c_acctbal'] END), 'added' FROM customer WHERE c_custkey % 13 = 0""",
-    "document_hash": "SELECT event_id, sha256('.k=' || json_extract_string(props, '$.k')) AS hash FROM events",
+    "document_hash": "SELECT event_id, sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') AS hash FROM events",
     "log_append": "SELECT event_id, strftime(ts, '%Y%m%d') AS run FROM events WHERE strftime(ts, '%Y%m%d') > '20240115'",
     "changed_since": "SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND strftime(ts, '%Y%m%d') >= '20240128'",
     "page_changes": """WITH p AS (SELECT o_orderkey AS page_id, CAST(o_orderkey % 4 AS INT) AS version, o_orderdate AS c, o_orderdate + INTERVAL 10 DAY AS u FROM orders)

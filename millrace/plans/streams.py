@@ -33,7 +33,7 @@ def stream_visits(spark, sf):
     folder = _folder(spark)
     q = streams.upsert_batches(_events(spark, sf).select("user_id", "ts", "event_type"), f"{folder}/t", ["user_id", "event_type"], "ts", f"{folder}/state")
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/t/v=0").select("user_id", "event_type", "ts")
+    return streams.newest_version(spark, f"{folder}/t").select("user_id", "event_type", "ts")
 
 
 def stream_pages(spark, sf):

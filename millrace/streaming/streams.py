@@ -36,7 +36,7 @@ def windowed_counts(stream: DataFrame, ts: str, key: str, size: str = "1 hour",
 def upsert_batches(stream: DataFrame, target: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
     """Keeps the latest row of each key in a table folder, one version a batch.
 
-    A batch writes target/v=<n>; readers take the largest n, so a repeated batch is harmless.
+    A batch writes target/v=<n>; readers take the largest n (`newest_version`), so a repeated batch is harmless.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
@@ -50,6 +50,12 @@ def upsert_batches(stream: DataFrame, target: str, key: list[str], order: str, c
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_version(spark: SparkSession, target: str) -> DataFrame:
+    """The table that `upsert_batches` keeps, as of its last batch; other versions are pruned."""
+    versions = spark.read.parquet(target)
+    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+
+
 def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over everything that is there into a memory table and returns it (small results and tests)."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

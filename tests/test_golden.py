@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from millrace.functions import filters, json, network, secrets
-from millrace.operators import changes, compare, hierarchy, network as net, search, tables, textdiff
+from millrace.functions import cloud, filters, json, network, secrets, values
+from millrace.operators import changes, compare, hierarchy, network as net, records, search, tables, textdiff
 from millrace.sources import documents
+from millrace.streaming import streams
 
 
 def rows(df):
@@ -106,6 +107,9 @@ def test_document_hash_ignores_order_and_volatile(spark):
     df = spark.createDataFrame([(1, '{"a": [1, 2], "t": 5}'), (2, '{"t": 6, "a": [2, 1]}'), (3, '{"a": [1, 3]}')], "id int, t string").select("id", json.parse("t").alias("j"))
     h = {r.id: r.hash for r in changes.document_hash(df, ["id"], "j", r"\.t$").collect()}
     assert h[1] == h[2] != h[3]
+    swapped = spark.createDataFrame([(1, '[{"a": 1, "b": 2}, {"a": 3, "b": 4}]'), (2, '[{"a": 1, "b": 4}, {"a": 3, "b": 2}]'), (3, '[{"b": 4, "a": 3}, {"a": 1, "b": 2}]')], "id int, t string")
+    h = {r.id: r.hash for r in changes.document_hash(swapped.select("id", json.parse("t").alias("j")), ["id"], "j").collect()}
+    assert h[1] == h[3] != h[2]
 
 
 def test_upsert_twice_is_idempotent(spark):
@@ -205,3 +209,61 @@ def test_top_of_deep_trees_and_cycles(spark):
 def test_status_words(spark):
     words = spark.createDataFrame([("running",), ("stopped",), ("failed",), ("in-use",), ("f",), ("o",)], "v string")
     assert [r[0] for r in words.select(json.status_tone(F.lit("State"), F.col("v"))).collect()] == ["good", "warn", "bad", "good", None, None]
+
+
+def test_record_diff(spark):
+    before = '{"Tags": [{"Key": "Name", "Value": "a"}, {"Key": "x", "Value": "1"}], "groups": [{"GroupId": "sg-1", "n": 1}, {"GroupId": "sg-2", "n": 1}], "l": [{"v": 1}, {"v": 2}], "p": [80, 443], "time": 1, "s": {"n": "on"}, "k": [1]}'
+    after = '{"Tags": [{"Key": "x", "Value": "2"}, {"Key": "Name", "Value": "a"}], "groups": [{"GroupId": "sg-2", "n": 5}, {"GroupId": "sg-3"}], "l": [{"v": 1}, {"v": 3}, {"v": 4}], "p": [443, 22], "time": 2, "s": "on", "k": [1]}'
+    side = lambda t: spark.createDataFrame([(1, t), (2, "{}"), (3, None)], "id int, t string").select("id", json.parse("t").alias("j"))
+    got = records.record_diff(side(before), side(after), ["id"], "j", r"time$").collect()
+    want = {
+        ("Tags.x", "1", "2"), ("groups[sg-2].n", "1", "5"), ("groups[+]", "", "sg-3"), ("groups[-]", "sg-1", ""), ("l[1].v", "2", "3"), ("l[+]", "", '{"v":4}'),
+        ("p[+]", "", "22"), ("p[-]", "80", ""), ("s", '{"n":"on"}', "on"),
+    }
+    assert {tuple(r)[1:] for r in got} == want and {r.id for r in got} == {1}
+
+
+def test_identities_by_level_and_loop(spark):
+    columns = "label string, type string, id string, name string, fields string, default boolean, vpc string, parent string"
+    entries = spark.createDataFrame(
+        [("e", "vpc", "v1", "Main", None, False, None, None), ("e", "a", "a1", "A", None, False, "v1", None), ("e", "b", "b1", "B", None, False, None, "a1"), ("e", "c", "c1", None, "port=1", False, None, "b1"),
+         ("e", "c", "c2", "C", None, False, None, "gone"), ("e", "a", "a2", None, None, True, "v9", None), ("e", "p", "p1", "P", None, False, None, "q1"), ("e", "q", "q1", "Q", None, False, None, "p1")], columns)
+    got = {r.id: r.identity for r in records.identities(entries, {"b": "a", "c": "b", "p": "q", "q": "p"}).collect()}
+    assert got == {"v1": "main", "a1": "main/a", "b1": "main/a/b", "c1": "main/a/b/port=1", "c2": None, "a2": "vpc?/default", "p1": None, "q1": None}
+
+
+def test_sources_and_templates(spark):
+    cases = [('{"Reservations": [{"Instances": []}]}', "aws", None), ('{"value": [{"id": "/subscriptions/1"}]}', "azure", None), ('[{"kind": "compute#instance", "selfLink": "x", "machineType": "m"}]', "gcp", None), ('{"InstanceId": 1, "InstanceType": null}', "aws", "EC2 instances"),
+             ('{"a": 1}', "unknown", None), ("3", "unknown", None), (None, "unknown", None), ('{"eventName": "x", "eventSource": "y"}', "unknown", "CloudTrail events")]
+    df = spark.createDataFrame(cases, "t string, source string, template string").withColumn("j", json.parse("t"))
+    for r in df.select("t", "source", "template", cloud.detect_source(F.col("j")).alias("s"), cloud.table_template(F.col("j")).alias("l")).collect():
+        assert (r.s, r.l) == (r.source, r.template), r.t
+
+
+def test_value_functions(spark):
+    a = F.array(F.lit(3.0), F.lit(1.0), F.lit(2.0))
+    got = spark.range(1).select(
+        values.sort_by(a, lambda x: -x), values.min_by(a, lambda x: x % 2), values.transpose(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3)))), values.combinations(F.array(a, F.array(F.lit(5.0)))),
+        values.alternative(F.lit(False), F.lit(True)), values.nth(a, 5), F.to_json(values.set_member(json.parse(F.lit('{"a": 1}')), "a", json.parse(F.lit("[2]")))),
+        values.with_entries(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), lambda e: F.struct(F.lit("k").alias("key"), e["value"].alias("value"))),
+    ).first()
+    assert tuple(got) == ([3.0, 2.0, 1.0], 2.0, [[1, 3], [2, None]], [[3.0, 5.0], [1.0, 5.0], [2.0, 5.0]], True, None, '{"a":[2]}', {"k": 2})
+
+
+def test_ipv6_blocks(spark):
+    cases = [("2001:db8::/32", "2001:db8:1::5", True), ("2001:db8::/32", "2001:db9::1", False), ("::/0", "fe80::1", True), ("2001:db8::8000/113", "2001:db8::7fff", False), ("10.0.0.0/8", "10.9.0.1", True), ("::1", "::1", True)]
+    for r in spark.createDataFrame(cases, "c string, ip string, want boolean").select("c", "want", network.cidr_contains(F.col("c"), F.col("ip")).alias("got")).collect():
+        assert r.got == r.want, r
+
+
+def test_streams_over_several_files(spark, tmp_path):
+    schema = "page string, ts timestamp, n int"
+    for i, rows_ in enumerate([[("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 00:30:00", 1)], [("a", "2024-01-05 00:00:00", 2)], [("c", "2024-01-05 01:00:00", 3)], [("b", "2024-01-01 00:10:00", 0)]]):
+        spark.createDataFrame(rows_, "page string, ts string, n int").select("page", F.col("ts").cast("timestamp"), "n").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    one_by_one = lambda: streams.file_stream(spark, schema, str(tmp_path / "in" / "*"), 1)
+    streams.upsert_batches(one_by_one(), str(tmp_path / "t"), ["page"], "ts", str(tmp_path / "s1")).awaitTermination()
+    assert {(r.page, r.n) for r in streams.newest_version(spark, str(tmp_path / "t")).collect()} == {("a", 2), ("b", 1), ("c", 3)}
+    counts = streams.run_to_table(streams.windowed_counts(one_by_one(), "ts", "page"), "late_counts", "append", str(tmp_path / "s2"))
+    # The row ten past midnight comes four days late, two batches after the watermark passed its hour (late rows
+    # are held against the watermark of the batch before): the hour is closed and keeps its count.
+    assert {(r.page, r.n) for r in counts.collect()} == {("a", 1), ("b", 1)}
