@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import analysis, inventory, more, records, streams, tables
+from .plans import analysis, inventory, more, paths, records, streams, tables
 
-MODULES = (tables, inventory, analysis, more, records, streams)
+MODULES = (tables, inventory, analysis, more, records, paths, streams)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

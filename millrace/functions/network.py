@@ -36,7 +36,7 @@ def cidr_low(cidr: Column) -> Column:
 
 
 def prefix_length(cidr: Column) -> Column:
-    return F.coalesce(F.get(F.split(cidr, "/"), 1).try_cast("int"), F.lit(32))
+    return F.coalesce(F.get(F.split(cidr, "/"), 1).try_cast("int"), F.when(cidr.contains(":"), 128).otherwise(32))
 
 
 def block_size(cidr: Column) -> Column:
@@ -50,6 +50,14 @@ def ip6_bits(ip: Column) -> Column:
     return F.concat(bits(halves["high"]), bits(halves["low"]))
 
 
+def network_key(address: Column, length: Column) -> Column:
+    """Names the network of `length` bits that an address of either kind lies in; NULL for other text and impossible lengths."""
+    n = ip_number(address)
+    four = F.concat(F.lit("4/"), length.cast("string"), F.lit("/"), (n - F.pmod(n, F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(32) - length))).cast("string"))
+    six = F.concat(F.lit("6/"), F.left(ip6_bits(address), length))
+    return F.when(address.contains(":"), F.when(length.between(0, 128), six)).otherwise(F.when(length.between(0, 32), four))
+
+
 def cidr_contains(cidr: Column, ip: Column) -> Column:
     """Whether an IPv4 or IPv6 block holds an address; never across the two kinds."""
     n = ip_number(ip)
@@ -62,7 +70,8 @@ def cidr_contains(cidr: Column, ip: Column) -> Column:
 
 def address_in(cidr: Column, n: int = 10) -> Column:
     """A representative address: the n-th of the block, or its last."""
-    return ip_text(cidr_low(cidr) + F.least(F.lit(n).cast("long"), block_size(cidr) - 1))
+    low = cidr_low(cidr)
+    return F.when(low.isNotNull(), ip_text(low + F.least(F.lit(n).cast("long"), block_size(cidr) - 1)))
 
 
 def cidr_in_parent(cidr: Column, blocks: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.network import block_size, cidr_low, ip_number, prefix_length
+from ..functions.network import network_key, prefix_length
 
 
 def with_names(changes: DataFrame, resources: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -48,39 +48,34 @@ def pair_sides(source: DataFrame, target: DataFrame, keys: list[str], id_col: st
     return both.select(*keys, "source_id", "target_id", status.alias("status"))
 
 
-def _blocks(c: Column) -> tuple[Column, Column]:
-    low = cidr_low(c)
-    return low, low + block_size(c)
+def _in_networks(cidrs: DataFrame, ips: DataFrame, ip: str, cidr: str, own: list[str]) -> DataFrame:
+    """`ips` joined with the `cidrs` that hold them, IPv4 or IPv6; _len is the prefix.
 
+    One equi-join over the prefix lengths that occur, at most 33 and 129 of the two kinds: an address
+    has just one network of each length, so it meets no block that does not hold it.
+    """
+    r = cidrs.withColumns({"_len": prefix_length(F.col(cidr)), "_six": F.col(cidr).contains(":")})
+    lengths = r.where("_len BETWEEN 0 AND IF(_six, 128, 32)").select("_six", "_len").distinct()
+    r = r.withColumn("_net", network_key(F.split(cidr, "/")[0], F.col("_len"))).where("_net IS NOT NULL").drop("_len", "_six")
+    a = ips.withColumn("_six", F.col(ip).contains(":")).join(F.broadcast(lengths), "_six").drop("_six")
+    a = a.withColumn("_net", network_key(F.col(ip), F.col("_len")))
+    return a.join(r, ["_net", *own]).drop("_net")
 
-def join_cidr(ips: DataFrame, cidrs: DataFrame, ip: str, cidr: str, bucket_bits: int = 8) -> DataFrame:
-    """Every address with every block that holds it.
 
-    Blocks are listed under each prefix of `bucket_bits` bits that they touch (a wider block under
-    several, at most 2 ** bucket_bits), so that the join is an equi-join with a range test.
-    """
-    shift = 32 - bucket_bits
-    low, end = _blocks(F.col(cidr))
-    b = cidrs.withColumns({"_low": low, "_end": end}).where("_low IS NOT NULL")
-    b = b.withColumn("_b", F.explode(F.sequence(F.shiftright("_low", shift), F.shiftright(F.col("_end") - 1, shift))))
-    a = ips.withColumn("_n", ip_number(F.col(ip))).withColumn("_b", F.shiftright("_n", shift))
-    return a.join(b, (a["_b"] == b["_b"]) & (F.col("_n") >= F.col("_low")) & (F.col("_n") < F.col("_end"))).drop("_b", "_n", "_low", "_end")
+def join_cidr(ips: DataFrame, cidrs: DataFrame, ip: str, cidr: str) -> DataFrame:
+    """Every address with every block that holds it, IPv4 or IPv6."""
+    return _in_networks(cidrs, ips, ip, cidr, []).drop("_len")
 
 
 def longest_prefix(routes: DataFrame, ips: DataFrame, ip: str, cidr: str, table: str | None = None) -> DataFrame:
     """Every different address with the containing route of the largest prefix; for each route table, if `table` names its column; only the address's own one, if the addresses have it too (F8).
 
-    One equi-join for each prefix length that the routes can have (0 to 32): an address has just one
-    network of each length, so no address meets a route that does not hold it.
+    Addresses and routes of both kinds may be mixed; they never meet across kinds.
     """
     own = [table] if table and table in ips.columns else []
-    lengths = F.array(*[F.lit(n) for n in range(33)])
-    r = routes.withColumns({"_len": prefix_length(F.col(cidr)), "_net": cidr_low(F.col(cidr))})
-    a = ips.withColumn("_ip", ip_number(F.col(ip))).withColumn("_len", F.explode(lengths))
-    a = a.withColumn("_net", F.col("_ip") - F.pmod(F.col("_ip"), F.call_function("shiftleft", F.lit(1).cast("long"), 32 - F.col("_len"))))
-    met = a.join(r, ["_len", "_net", *own])
+    met = _in_networks(routes, ips, ip, cidr, own)
     best = F.row_number().over(Window.partitionBy(ip, *([table] if table else [])).orderBy(F.desc("_len"), cidr))
-    return met.withColumn("_p", best).where("_p = 1").withColumn("prefix", F.col("_len")).drop("_p", "_len", "_net", "_ip")
+    return met.withColumn("_p", best).where("_p = 1").withColumn("prefix", F.col("_len")).drop("_p", "_len")
 
 
 def coverage_gaps(listed: DataFrame, tokens: DataFrame, id_col: str, forms: Column, type_col: str, examples: int = 10) -> DataFrame:

@@ -34,22 +34,40 @@ def policy_findings(statements: DataFrame) -> DataFrame:
     return statements.where("effect = 'Allow'").withColumn("risk", risk).where("risk IS NOT NULL")
 
 
-def sg_check(flows: DataFrame, rules: DataFrame) -> DataFrame:
-    """(flow, verdict): PASS where a rule of the flow's group allows it, UNKNOWN for prefix lists or unknown groups, else FAIL.
-
-    flows: flow, group, peer_ip, port, protocol; rules: group, ports, protocol, peer_type, peer.
+def group_verdicts(flows: DataFrame, rules: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(flow, verdict, evidence): whether any of a flow's security groups allows it.
+
+    flows: flow, groups (array), direction, peer_ip, port, protocol, callers (array of the peer's own
+    groups); rules: group, direction, place, protocol, ports, peer_type, peer; known: group, by default
+    the groups that have rules. A rule passes that covers the port and protocol and holds the address,
+    or names a group of the callers; a covering prefix list leaves it UNKNOWN, as does a flow without
+    groups or one whose groups are all unknown; everything else is FAIL. Groups, then rules, in order.
     """
-    r = rules.select("group", F.col("protocol").alias("r_protocol"), F.col("ports").alias("r_ports"), "peer_type", "peer")
-    met = flows.join(r, "group", "left")
-    covers = F.coalesce(ports_cover(F.col("r_ports"), F.col("port")) & protocol_ok(F.col("r_protocol"), F.col("protocol")), F.lit(False))
-    verdict = (
-        F.when(F.col("peer").isNull(), 1)
-        .when(covers & (F.col("peer_type") == "cidr") & cidr_contains(F.col("peer"), F.col("peer_ip")), 0)
-        .when(covers & (F.col("peer_type") != "cidr"), 1)
-        .otherwise(2)
-    )
-    best = met.groupBy("flow").agg(F.min(verdict).alias("v"))
-    return best.select("flow", F.element_at(F.array(F.lit("PASS"), F.lit("UNKNOWN"), F.lit("FAIL")), F.col("v") + 1).alias("verdict"))
+    known = (rules if known is None else known).select("group").where("group IS NOT NULL").distinct().withColumn("_known", F.lit(True))
+    f = flows.select("flow", "direction", "peer_ip", "port", "protocol", "callers", F.posexplode_outer(F.array_compact("groups")).alias("_n", "group"))
+    r = rules.select("group", "direction", F.col("place").alias("_place"), F.col("protocol").alias("_protocol"), F.col("ports").alias("_ports"), "peer_type", "peer")
+    met = f.join(known, "group", "left").join(r, ["group", "direction"], "left")
+    covers = ports_cover(F.col("_ports"), F.col("port")) & protocol_ok(F.col("_protocol"), F.col("protocol"))
+    holds = F.col("peer_type").isin("cidr", "cidr6") & cidr_contains(F.col("peer"), F.col("peer_ip"))
+    named = F.col("peer_type").isin("group", "security_group") & F.array_contains("callers", F.element_at(F.split("peer", "/"), -1))
+    rank = F.when(covers & (F.coalesce(holds, F.lit(False)) | F.coalesce(named, F.lit(False))), 0).when(covers & F.col("peer_type").isin("prefix list", "prefix_list"), 1)
+    said = F.concat_ws(" ", F.col("group").cast("string"), "_protocol", "_ports", "peer")
+    best = met.groupBy("flow").agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "_n", "_place", said.alias("said")))).alias("b"), F.count("group").alias("n"), F.count("_known").alias("k"))
+    none = F.when(F.col("n") == 0, "no group").when(F.col("k") == 0, "unknown groups")
+    verdict = F.when(F.col("b.rank") == 0, "PASS").when((F.col("b.rank") == 1) | none.isNotNull(), "UNKNOWN").otherwise("FAIL")
+    return best.select("flow", verdict.alias("verdict"), F.coalesce("b.said", none, F.lit("no rule")).alias("evidence"))
+
+
+def sg_check(flows: DataFrame, rules: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(flow, verdict) of `group_verdicts` for flows of one group each.
+
+    flows: flow, group, peer_ip, port, protocol, and callers where the peer's groups are known; rules
+    of one direction: group, ports, protocol, peer_type, peer.
+    """
+    callers = F.col("callers") if "callers" in flows.columns else F.array().cast("array<string>")
+    one = flows.select("flow", F.array("group").alias("groups"), F.lit("in").alias("direction"), "peer_ip", "port", "protocol", callers.alias("callers"))
+    found = group_verdicts(one, rules.withColumns({"direction": F.lit("in"), "place": F.lit(0)}), known)
+    return found.select("flow", "verdict")
 
 
 def acl_first_match(flows: DataFrame, acl: DataFrame) -> DataFrame:
@@ -263,20 +281,20 @@ def next_attachments(tables: DataFrame, own: DataFrame) -> DataFrame:
 def endpoint_checks(clusters: DataFrame, endpoints: DataFrame, subnet_routes: DataFrame, rules: DataFrame) -> DataFrame:
     """(cluster, endpoint, service, type, verdict): which endpoints of its VPC a cluster may reach.
 
-    clusters: cluster, vpc, subnets, ip; endpoints: endpoint, vpc, service, type, route_tables, groups;
-    subnet_routes: subnet, table; rules as of `sg_rules`. Gateways need a route table of the cluster's
-    subnets, others a rule for TCP 443 from the cluster's address; the best of several groups counts.
+    clusters: cluster, vpc, subnets, ip, and callers (the cluster's groups) where they are known;
+    endpoints: endpoint, vpc, service, type, route_tables, groups; subnet_routes: subnet, table; rules as
+    of `sg_rules`. Gateways need a route table of the cluster's subnets, others a rule of any of their
+    groups for TCP 443 from the cluster's address or groups.
     """
+    if "callers" not in clusters.columns:
+        clusters = clusters.withColumn("callers", F.array().cast("array<string>"))
     service = F.regexp_replace("service", r"^com\.amazonaws\.(vpce\.)?[a-z0-9-]+\.", "")
-    met = clusters.join(endpoints, "vpc").select("cluster", "subnets", "ip", "endpoint", service.alias("service"), "type", "route_tables", "groups")
+    met = clusters.join(endpoints, "vpc").select("cluster", "subnets", "ip", "callers", "endpoint", service.alias("service"), "type", "route_tables", "groups")
     gateways = met.where("type = 'Gateway'")
     used = gateways.select("cluster", "endpoint", F.explode("subnets").alias("subnet"), "route_tables").join(subnet_routes, "subnet").where(F.array_contains("route_tables", F.col("table"))).select("cluster", "endpoint").distinct()
     columns = ["cluster", "endpoint", "service", "type"]
     first = gateways.join(used.withColumn("_u", F.lit(True)), ["cluster", "endpoint"], "left").select(*columns, F.when(F.col("_u"), "PASS").otherwise("FAIL").alias("verdict"))
     others = met.where("type <> 'Gateway'")
-    flow = F.struct("cluster", "endpoint", "group")
-    flows = others.select("cluster", "endpoint", F.explode("groups").alias("group"), F.col("ip").alias("peer_ip"), F.lit(443).alias("port"), F.lit("tcp").alias("protocol")).withColumn("flow", flow)
-    order = F.when(F.col("verdict") == "PASS", 0).when(F.col("verdict") == "UNKNOWN", 1).otherwise(2)
-    checked = sg_check(flows.select("flow", "group", "peer_ip", "port", "protocol"), rules).groupBy("flow.cluster", "flow.endpoint").agg(F.min_by("verdict", order).alias("verdict"))
-    second = others.join(checked, ["cluster", "endpoint"], "left").select(*columns, F.coalesce("verdict", F.lit("UNKNOWN")).alias("verdict"))
-    return first.unionByName(second)
+    flows = others.select(F.struct("cluster", "endpoint").alias("flow"), "groups", F.lit("in").alias("direction"), F.col("ip").alias("peer_ip"), F.lit(443).alias("port"), F.lit("tcp").alias("protocol"), "callers")
+    checked = group_verdicts(flows, rules.withColumns({"direction": F.lit("in"), "place": F.lit(0)})).select("flow.cluster", "flow.endpoint", "verdict")
+    return first.unionByName(others.join(checked, ["cluster", "endpoint"]).select(*columns, "verdict"))

@@ -209,7 +209,8 @@ def _flows(spark, sf):
 
 
 def group_check(spark, sf):
-    return net.sg_check(_flows(spark, sf), _rules(spark, sf))
+    callers = F.array(F.concat(F.lit("sg-"), F.col("flow") % 7))
+    return net.sg_check(_flows(spark, sf).withColumn("callers", callers), _rules(spark, sf))
 
 
 def acl_first_match(spark, sf):
@@ -377,8 +378,8 @@ ORACLE = {
     "rule_rows": f"SELECT \"group\", protocol, 'cidr' AS peer_type, count(*) AS n FROM {RULES} GROUP BY ALL UNION ALL SELECT \"group\", protocol, 'group', count(*) FROM {RULES} WHERE k % 5 = 0 GROUP BY ALL UNION ALL SELECT \"group\", protocol, 'prefix list', count(*) FROM {RULES} WHERE k % 11 = 0 GROUP BY ALL",
     "open_to_world": f"SELECT \"group\", ports, protocol FROM {RULES} WHERE k % 4 = 0 AND \"group\" % 3 <> 0",
     "group_check": f"""WITH f AS (SELECT c_custkey AS flow, c_custkey % 45 AS g, c_custkey % 50 AS port, b FROM {NET}),
-      m AS (SELECT flow, r.k, (protocol = '-1' OR (port >= lo AND port <= hi)) AS c, k % 4 = 0 OR k % 60 = b AS inside FROM f LEFT JOIN {RULES} r ON r."group" = g)
-      SELECT flow, CASE WHEN bool_or(c AND inside) THEN 'PASS' WHEN bool_or(k IS NULL OR (c AND (k % 5 = 0 OR k % 11 = 0))) THEN 'UNKNOWN' ELSE 'FAIL' END AS verdict FROM m GROUP BY 1""",
+      m AS (SELECT flow, r.k, (protocol = '-1' OR (port >= lo AND port <= hi)) AS c, k % 4 = 0 OR k % 60 = b OR (k % 5 = 0 AND k % 7 = flow % 7) AS inside FROM f LEFT JOIN {RULES} r ON r."group" = g)
+      SELECT flow, CASE WHEN bool_or(c AND inside) THEN 'PASS' WHEN bool_or(k IS NULL OR (c AND k % 11 = 0)) THEN 'UNKNOWN' ELSE 'FAIL' END AS verdict FROM m GROUP BY 1""",
     "acl_first_match": f"""WITH f AS (SELECT c_custkey AS flow, c_custkey % 9 AS acl, c_custkey % 50 AS port, b FROM {NET}),
       m AS (SELECT flow, s_suppkey AS n, CASE WHEN s_suppkey % 3 = 0 THEN 'deny' ELSE 'allow' END AS a FROM f JOIN supplier ON s_suppkey % 9 = acl AND s_suppkey % 4 <> 0 AND port BETWEEN s_suppkey % 20 AND s_suppkey % 20 + 15 AND b // 8 = s_suppkey % 8)
       SELECT c_custkey AS flow, min(n) AS rule, coalesce(arg_min(a, n), 'deny') AS action FROM customer LEFT JOIN m ON flow = c_custkey GROUP BY 1""",
