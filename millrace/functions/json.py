@@ -170,6 +170,18 @@ def format_path(path: Column, style: str = "js") -> Column:
     return {"js": F.concat(F.lit("$."), path), "jq": F.concat(F.lit("."), path), "jmes": path}[style]
 
 
+def parse_path(text: Column) -> Column:
+    """The steps (`.key`, `[n]`) of a path such as `a.b[0]`, `.a["x y"]`, `$.a.'0'` or `a.0`; NULL for other text."""
+    rest = F.regexp_replace(F.trim(text), r"^[$@.]?(?=\.|\[|$)", "")
+    name, number, quoted = r"\.?[A-Za-z_$][\w$-]*", r"\[\s*\d+\s*\]|\.\d+", r"""\.?\[\s*(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')\s*\]|\.?"(?:[^"\\]|\\.)*\""""
+    parts = F.regexp_extract_all(rest, F.lit(rf"\s*(?:{number}|{name}|{quoted})"), F.lit(0))
+    inner = lambda p: F.regexp_extract(p, r"""(?s)^\s*\.?\[?\s*(["'].*["'])\s*\]?$""", 1)
+    single = lambda p: F.regexp_replace(F.regexp_extract(inner(p), "(?s)^'(.*)'$", 1), r"\\'", "'")
+    key = lambda p: F.when(inner(p).startswith("'"), single(p)).when(inner(p) != "", F.try_variant_get(F.try_parse_json(inner(p)), "$", "string")).otherwise(F.regexp_replace(p, r"^\s*\.?", ""))
+    step = lambda p: F.when(p.rlike(rf"^\s*(?:{number})$"), F.concat(F.lit("["), F.regexp_replace(p, r"\D", ""), F.lit("]"))).otherwise(F.concat(F.lit("."), key(p)))
+    return F.when(rest.isin("", "."), F.array().cast("array<string>")).when(F.array_join(parts, "") == rest, F.transform(parts, step))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
