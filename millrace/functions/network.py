@@ -76,7 +76,8 @@ def address_in(cidr: Column, n: int = 10) -> Column:
 
 def cidr_in_parent(cidr: Column, blocks: Column) -> Column:
     """Place of a block inside the first of its parent's blocks that holds it: block1+1024/24."""
-    index = F.array_position(F.transform(blocks, lambda b: cidr_contains(b, F.split(cidr, "/")[0])), True)
+    holds = lambda b: F.coalesce(cidr_contains(b, F.split(cidr, "/")[0]), F.lit(False)) & (prefix_length(cidr) >= prefix_length(b))
+    index = F.array_position(F.transform(blocks, holds), True)
     offset = cidr_low(cidr) - cidr_low(F.try_element_at(blocks, index.cast("int")))
     return F.when(index > 0, F.concat(F.lit("block"), index.cast("string"), F.lit("+"), offset.cast("string"), F.lit("/"), prefix_length(cidr).cast("string")))
 

@@ -112,32 +112,56 @@ def children(df: DataFrame, id_cols: list[str], value_col: str, path: str = "$",
     return rows.select(*id_cols, "pos", F.coalesce("key", F.col("pos").cast("string")).alias("key"), json_type(F.col("value")).alias("type"), preview(F.col("value")).alias("preview"), size(F.col("value")).alias("count"), F.col("_total").alias("total"))
 
 
-# Fields that name a record, in order.
+# Fields that name a record and fields that hold a VPC's id, in order, and the form of generated ids.
 NAME_FIELDS = ("Name", "name", "DisplayName", "GroupName")
-GENERATED = r"^([a-z]{1,12}-)?[0-9a-f-]{8,}$"
-
-
-def describe(df: DataFrame, id_col: str, value_col: str, keep: list[str] = (), name_fields: tuple[str, ...] = NAME_FIELDS, key_fields: tuple[str, ...] = ()) -> DataFrame:
+VPC_FIELDS = ("VpcId", "vpcId", "VPCId")
+GENERATED = r"^(?:[a-z]+(?:-[a-z]+)*-[0-9a-f]{8,17}|[0-9a-f-]{32,36}|[0-9a-f]{8,}|[A-Z0-9]{13,32})$"
+
+
+def nearest_vpc(v: Column, depth: int = 3, without: tuple[str, ...] = ("_network", "_details")) -> Column:
+    """The VPC id nearest to the top of a VARIANT, down to `depth` levels of members and lists; of one level, members by name."""
+    listed = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+    members = lambda x, skip: F.coalesce(F.map_values(F.map_filter(F.try_variant_get(x, "$", "map<string,variant>"), lambda k, _: ~k.isin(*skip) if skip else F.lit(True))), F.array().cast("array<variant>"))
+    own = lambda x: F.coalesce(*[F.when(F.try_variant_get(x, f"$.{k}", "string").startswith("vpc-"), F.try_variant_get(x, f"$.{k}", "string")) for k in VPC_FIELDS])
+    level, out = F.array(v), []
+    for d in range(depth + 1):
+        out.append(F.get(F.array_compact(F.transform(level, own)), 0))
+        if d < depth:
+            skip = without if d == 0 else ()
+            below = F.flatten(F.transform(level, lambda x: F.when(json_type(x) == "array", listed(x)).when(json_type(x) == "object", members(x, skip)).otherwise(F.array().cast("array<variant>"))))  # noqa: B023
+            level = F.filter(below, lambda x: json_type(x).isin("object", "array"))
+    return F.coalesce(*out)
+
+
+def describe(df: DataFrame, id_col: str, value_col: str, keep: list[str] = (), name_fields: tuple[str, ...] = NAME_FIELDS, key_fields: tuple[str, ...] = (), id_fields: tuple[str, ...] = ("Arn", "arn"), vpc_types: tuple[str, ...] = ()) -> DataFrame:
     """(keep..., id, name, fields, default, vpc, parent, own, cidrs) of records (K1).
 
     name: the Name tag, a name field, or the id's last part if it is not a generated one and no key
-    field is there; own: the ids by which others may refer to the record.
+    field is there; vpc: the nearest VPC id, null for the types in `vpc_types` (by a kept column
+    `type`); own: the ids by which others may refer to the record: its own, the id fields, and every
+    ARN of a member that ends in the id's last part or the name.
     """
     text = lambda k: F.nullif(F.try_variant_get(value_col, f"$.{k}", "string"), F.lit(""))
     tags = F.try_variant_get(value_col, "$.Tags", "array<struct<Key:string,Value:string>>")
     tag = F.nullif(F.get(F.filter(tags, lambda t: t["Key"] == "Name"), 0)["Value"], F.lit(""))
     named = F.coalesce(tag, *[text(k) for k in name_fields])
     fields = F.nullif(F.array_join(F.array(*[F.concat(F.lit(f"{k}="), text(k)) for k in key_fields]), ","), F.lit("")) if key_fields else F.lit(None).cast("string")
-    last = F.element_at(F.split(F.col(id_col), "[/:]"), -1)
-    candidate = F.when(F.col(id_col).rlike("^arn:|://"), last).otherwise(F.col(id_col))
+    segment = lambda c: F.element_at(F.split(F.regexp_replace(c, "/+$", ""), "[/:]"), -1)
+    candidate = F.when(F.col(id_col).rlike("^arn:|://"), segment(F.col(id_col))).otherwise(F.col(id_col))
     own_name = F.when(fields.isNull() & ~candidate.rlike(GENERATED) & ~candidate.contains("#"), candidate)
+    name = F.coalesce(named, own_name)
     main = F.try_variant_get(value_col, "$.Associations", "array<struct<Main:boolean>>")
     default = F.coalesce(F.try_variant_get(value_col, "$.IsDefault", "boolean"), F.lit(False)) | F.coalesce(F.exists(main, lambda a: F.coalesce(a["Main"], F.lit(False))), F.lit(False))
     blocks = F.try_variant_get(value_col, "$.CidrBlockAssociationSet", "array<struct<CidrBlock:string>>")
     cidrs = F.coalesce(F.transform(blocks, lambda b: b["CidrBlock"]), F.array_compact(F.array(text("CidrBlock"))))
+    vpc = nearest_vpc(F.col(value_col))
+    vpc = F.when(~F.coalesce(F.col("type").isin(*vpc_types), F.lit(False)), vpc) if vpc_types else vpc
+    strings = F.transform(F.map_values(F.try_variant_get(value_col, "$", "map<string,variant>")), lambda x: F.when(json_type(x) == "string", F.try_variant_get(x, "$", "string")))
+    arns = F.filter(strings, lambda t: t.startswith("arn:") & ((segment(t) == segment(F.col(id_col))) | F.coalesce(segment(t) == name, F.lit(False))))
+    own = F.concat(F.array(F.col(id_col), *[text(k) for k in id_fields]), F.coalesce(arns, F.array().cast("array<string>")))
     return df.select(
-        *keep, F.col(id_col).alias("id"), F.coalesce(named, own_name).alias("name"), fields.alias("fields"), default.alias("default"), text("VpcId").alias("vpc"),
-        text("_parent_id").alias("parent"), F.array_distinct(F.array_compact(F.array(F.col(id_col), text("Arn"), text("arn")))).alias("own"), cidrs.alias("cidrs"),
+        *keep, F.col(id_col).alias("id"), name.alias("name"), fields.alias("fields"), default.alias("default"), vpc.alias("vpc"),
+        text("_parent_id").alias("parent"), F.array_distinct(F.array_compact(own)).alias("own"), cidrs.alias("cidrs"),
     )
 
 

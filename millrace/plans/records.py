@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import cloud, json, values
-from ..operators import network, records
+from ..operators import network, pairing, records
+from ..operators.compare import clean_name
 from ..sources.tables import table
 
 
@@ -94,6 +95,31 @@ def identity_paths(spark, sf):
     return records.identities(entries, {"group": "cluster"}).select("type", "id", "identity")
 
 
+#: What pairs the unnamed records of each type (2.17); `loop` names its like.
+PAIR_BY = {
+    "ec2/vpcs": ["default"], "ec2/subnets": ["cidr_in_vpc"], "ec2/route_tables": ["main", "ref:Associations.SubnetId"],
+    "ec2/network_interfaces": ["InterfaceType", "Description", "ref:SubnetId", "ref:Attachment.InstanceId"], "ec2/internet_gateways": ["=internet-gateway"], "loop": ["Kind", "ref:Other.Id"],
+}
+#: Records as JSON text, in SQL that Spark reads: nations are VPCs, suppliers subnets, parts route tables, customers interfaces, nations once more flow logs in loops.
+PAIRED = """
+    SELECT 'ec2/vpcs' AS type, 'vpc-' || lpad(n_nationkey, 8, '0') AS rid, '{"Tags": [{"Key": "Name", "Value": "' || CASE WHEN n_nationkey % 3 > 0 THEN n_name || '-Dev' ELSE '' END || '"}], "IsDefault": ' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || ', "CidrBlock": "10.' || n_nationkey || '.0.0/16"}' AS text FROM {nation}
+    UNION ALL SELECT 'ec2/subnets', 'subnet-' || lpad(s_suppkey, 8, '0'), '{"VpcId": "vpc-' || lpad(s_nationkey, 8, '0') || '", "CidrBlock": "10.' || CASE WHEN s_acctbal < 0 THEN 77 ELSE s_nationkey END || '.' || (s_suppkey % 256) || '.0/24"}' FROM {supplier}
+    UNION ALL SELECT 'ec2/route_tables', 'rtb-' || lpad(p_partkey, 8, '0'), '{"VpcId": "vpc-' || lpad(p_partkey % 27, 8, '0') || '", "Associations": [{"Main": ' || CASE WHEN p_size < 10 THEN 'true' ELSE 'false' END || '}, {"SubnetId": "subnet-' || lpad(1 + p_partkey % (SELECT count(*) FROM {supplier}), 8, '0') || '"}, {"SubnetId": "subnet-' || lpad(p_size, 8, '0') || '"}]}' FROM {part}
+    UNION ALL SELECT 'ec2/network_interfaces', 'eni-' || lpad(c_custkey, 8, '0'), '{"InterfaceType": "Interface", "Description": "' || c_mktsegment || ' dev i-00000000' || lpad(c_nationkey, 2, '0') || ' 0123456789abcdef", "SubnetId": "subnet-' || lpad(1 + c_custkey % 60, 8, '0') || '", "Attachment": {"InstanceId": "i-' || lpad(c_custkey, 8, '0') || '"}, "Nested": {"Deep": [{"vpcId": "vpc-' || lpad(c_nationkey, 8, '0') || '"}]}}' FROM {customer}
+    UNION ALL SELECT 'loop', 'fl-' || lpad(n_nationkey, 8, '0'), '{"Kind": "ALL", "Other": [{"Id": "' || CASE WHEN n_nationkey % 4 = 1 THEN 'fl-' || lpad(n_nationkey + 2, 8, '0') WHEN n_nationkey % 4 = 3 THEN 'fl-' || lpad(n_nationkey - 2, 8, '0') WHEN n_nationkey % 4 = 2 THEN 'fl-' || lpad(1, 8, '0') ELSE 'vpc-' || lpad(n_nationkey, 8, '0') END || '"}]}' FROM {nation}"""
+
+
+def pair_by_identities(spark, sf):
+    """Records without names, paired by what they are attached to; cleaned of the word `dev`."""
+    sql = PAIRED.replace("{", "{{").replace("}", "}}")
+    for t in ("nation", "supplier", "part", "customer"):
+        sql = sql.replace(f"{{{{{t}}}}}", f"{{{t}}}")
+    rows = spark.sql(sql, **{t: table(spark, sf, t) for t in ("nation", "supplier", "part", "customer")}).select(F.lit("env").alias("label"), "type", "rid", json.parse("text").alias("j"))
+    parts = pairing.rule_parts(F.col("type"), F.col("j"), PAIR_BY)
+    entries = records.describe(rows.withColumn("parts", parts), "rid", "j", ["label", "type", "parts"], vpc_types=("ec2/vpcs",))
+    return pairing.paired_identities(entries, {}, clean=lambda c: clean_name(c, ["dev"])).select("type", "id", "identity")
+
+
 def acl_rows(spark, sf):
     entry = F.struct(
         F.col("p_size").alias("number"), (F.col("p_partkey") % 2 == 0).alias("egress"), F.when(F.col("p_partkey") % 3 == 0, "deny").otherwise("allow").alias("action"),
@@ -250,6 +276,13 @@ ORACLE = {
     "identity_paths": f"""WITH {INVENTORY}, n AS (SELECT id, coalesce(lower(name), CASE WHEN d THEN 'default' END) AS i FROM nets),
       c AS (SELECT c.id, coalesce(n.i, 'vpc?') || '/' || lower(c.name) AS i FROM clusters c LEFT JOIN n ON n.id = c.vpc)
       SELECT 'vpc' AS type, id, i AS identity FROM n UNION ALL SELECT 'cluster', id, i FROM c UNION ALL SELECT 'group', p.id, c.i || '/' || lower(p.name) FROM parts p LEFT JOIN c ON c.id = p.parent""",
+    "pair_by_identities": """WITH v AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 3 > 0 THEN lower(n_name) || '-<env>' WHEN n_nationkey % 2 = 0 THEN 'default' END AS i FROM nation),
+      s AS (SELECT s_suppkey AS s, coalesce(i, 'vpc?') || '/' || CASE WHEN s_acctbal < 0 THEN 'outside-vpc' ELSE 'block1+' || (s_suppkey % 256) * 256 || '/24' END AS i FROM supplier LEFT JOIN v ON n = s_nationkey),
+      r AS (SELECT p_partkey AS p, coalesce(v.i, 'vpc?') || '/' || CASE WHEN p_size < 10 THEN 'main|' ELSE '' END || array_to_string(list_sort([coalesce(a.i, '?'), coalesce(b.i, '?')]), '+') AS i FROM part LEFT JOIN v ON n = p_partkey % 27 LEFT JOIN s a ON a.s = 1 + p_partkey % (SELECT count(*) FROM supplier) LEFT JOIN s b ON b.s = p_size),
+      e AS (SELECT c_custkey AS c, coalesce(v.i, 'vpc?') || '/interface|' || lower(c_mktsegment) || ' <env> * *|' || coalesce(s.i, '?') || '|?' AS i FROM customer LEFT JOIN v ON n = c_nationkey LEFT JOIN s ON s = 1 + c_custkey % 60)
+      SELECT 'ec2/vpcs' AS type, 'vpc-' || lpad(n::VARCHAR, 8, '0') AS id, i AS identity FROM v UNION ALL SELECT 'ec2/subnets', 'subnet-' || lpad(s::VARCHAR, 8, '0'), i FROM s UNION ALL SELECT 'ec2/route_tables', 'rtb-' || lpad(p::VARCHAR, 8, '0'), i FROM r
+      UNION ALL SELECT 'ec2/network_interfaces', 'eni-' || lpad(c::VARCHAR, 8, '0'), i FROM e
+      UNION ALL SELECT 'loop', 'fl-' || lpad(n::VARCHAR, 8, '0'), 'all|' || CASE n % 4 WHEN 0 THEN coalesce(i, '?') WHEN 2 THEN 'all|?' ELSE '?' END FROM v""",
     "acl_rows": """WITH e AS (SELECT p_partkey % 50 AS acl, p_size AS number, CASE WHEN p_partkey % 2 = 0 THEN 'out' ELSE 'in' END AS direction, CASE WHEN p_partkey % 3 = 0 THEN 'deny' ELSE 'allow' END AS action, CASE WHEN p_partkey % 5 = 0 THEN 'all' ELSE '6' END AS protocol, CASE WHEN p_partkey % 5 = 0 THEN '-1' ELSE '6' END AS raw,
         CASE WHEN p_partkey % 4 > 0 THEN p_size END AS f, p_size + p_partkey % 2 AS t, CASE WHEN p_partkey % 7 > 0 THEN '10.0.0.0/8' END AS c FROM part),
       x AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY acl, number, direction ORDER BY action, raw, f NULLS FIRST, t, c NULLS FIRST) = 1)
