@@ -97,26 +97,31 @@ def paired_identities(entries: DataFrame, parents: dict[str, str], vpc_type: str
     to_vpc = rows.where(F.col("vpc").isNotNull()).select("key", "label", F.lit(vpc_type).alias("_type"), F.col("vpc").alias("_id")).join(at, ["label", "_type", "_id"]).where("dep <> key").select("key", F.lit(-2).alias("slot"), F.lit(0).alias("n"), "dep")
     edges = written(refs.union(to_parent).union(to_vpc))
     blocks = rows.where(F.col("type") == vpc_type).select("label", F.col("id").alias("vpc"), F.col("cidrs").alias("_blocks"))
-    rows = written(rows.join(blocks, ["label", "vpc"], "left"))
+    joined = lambda names: F.array_join(F.array_sort(names), "+")
+    text = lambda p: joined(F.transform(p["values"], lambda t: F.regexp_replace(F.regexp_replace(clean(t), EMBEDDED_ID, "*"), HEX, "*")))
+    cidr = lambda p: F.array_join(F.transform(p["values"], lambda t: F.coalesce(cidr_in_parent(t, F.col("_blocks")), F.lit("outside-vpc"))), "|")
+    # What does not wait for other records is made once; a round then puts in references only.
+    known = F.transform("parts", lambda p: F.struct(F.when(p["kind"] == "cidr", cidr(p)).when(p["kind"] == "text", text(p)).alias("said"), F.when(p["kind"] == "ref", F.size(p["values"])).alias("refs")))
+    base = F.when(F.col("name").isNotNull() & (F.col("name") != ""), clean(F.col("name"))).when(F.col("parts").isNull(), F.coalesce("fields", F.when(F.col("default"), "default")))
+    rows = rows.join(blocks, ["label", "vpc"], "left").select("key", base.alias("base"), known.alias("known"), has_parent.alias("child"), F.col("vpc").isNotNull().alias("inside"))
+    rows = written(rows)
+    found_type = "array<struct<slot:int,n:int,identity:string>>"
 
     def settle(ready: DataFrame, settled: DataFrame | None) -> DataFrame:
         """(key, identity) of `ready` (key)."""
         own = rows.join(ready, "key", "left_semi")
         if settled is None:
-            own = own.withColumn("found", F.array().cast("array<struct<slot:int,n:int,identity:string>>"))
+            own = own.withColumn("found", F.array().cast(found_type))
         else:
             met = edges.join(ready, "key", "left_semi").join(settled.withColumnRenamed("key", "dep"), "dep").groupBy("key").agg(F.collect_list(F.struct("slot", "n", "identity")).alias("found"))
-            own = own.join(met, "key", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<slot:int,n:int,identity:string>>")))
+            own = own.join(met, "key", "left").withColumn("found", F.coalesce("found", F.array().cast(found_type)))
         of = lambda slot, n: F.get(F.filter("found", lambda x: (x["slot"] == slot) & (x["n"] == n)), 0)["identity"]
-        joined = lambda names: F.array_join(F.array_sort(names), "+")
-        text = lambda p: joined(F.transform(p["values"], lambda t: F.regexp_replace(F.regexp_replace(clean(t), EMBEDDED_ID, "*"), HEX, "*")))
-        cidr = lambda p: F.array_join(F.transform(p["values"], lambda t: F.coalesce(cidr_in_parent(t, F.col("_blocks")), F.lit("outside-vpc"))), "|")
-        ref = lambda p, i: joined(F.transform(p["values"], lambda _, n: F.coalesce(of(i, n), F.lit("?"))))
-        pieces = F.transform("parts", lambda p, i: F.when(p["kind"] == "cidr", cidr(p)).when(p["kind"] == "ref", ref(p, i)).otherwise(text(p)))
+        # refs is null for other parts and 0 where the field is missing
+        numbers = lambda p: F.when(p["refs"] > 0, F.sequence(F.lit(0), p["refs"] - 1)).otherwise(F.array().cast("array<int>"))
+        pieces = F.transform("known", lambda p, i: F.coalesce(p["said"], joined(F.transform(numbers(p), lambda n: F.coalesce(of(i, n), F.lit("?"))))))
         by_parts = F.nullif(F.array_join(F.filter(pieces, lambda t: t != ""), "|"), F.lit(""))
-        base = F.when(F.col("name").isNotNull() & (F.col("name") != ""), clean(F.col("name"))).when(F.col("parts").isNotNull(), by_parts).otherwise(F.coalesce("fields", F.when(F.col("default"), "default")))
-        inside = F.concat(F.coalesce(of(-2, 0), F.lit("vpc?")), F.lit("/"), base)
-        identity = F.when(has_parent, F.concat(of(-1, 0), F.lit("/"), base)).when(F.col("vpc").isNotNull(), inside).otherwise(base)
+        name = F.coalesce("base", by_parts)
+        identity = F.when(F.col("child"), F.concat(of(-1, 0), F.lit("/"), name)).when(F.col("inside"), F.concat(F.coalesce(of(-2, 0), F.lit("vpc?")), F.lit("/"), name)).otherwise(name)
         return own.select("key", identity.alias("identity"))
 
     waiting, settled = rows.select("key"), None
