@@ -160,18 +160,21 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with two hashes of the whole row, which name it whatever its id."""
-    every = [F.col(c) for c in docs.columns]
-    return docs.select("*", F.xxhash64(*every).alias("_k1"), F.xxhash64(*every, F.lit(1)).alias("_k2"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """`docs` with two hashes of the whole row, which name it whatever its id, and their names, which clash with no column."""
+    plain = lambda f: not re.search("map<|variant|interval|udt", f.dataType.simpleString())  # noqa: E731  others have no hash of their own
+    every = [F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields]
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    k1, k2 = f"{free}k1", f"{free}k2"
+    return docs.select("*", F.xxhash64(*every).alias(k1), F.xxhash64(*every, F.lit(1)).alias(k2)), k1, k2
 
 
-def _first_of(keyed: DataFrame, named: DataFrame) -> DataFrame:
-    """The first row of each group by (doc_id, row key), ids before nulls; named: (doc_id, _k1, _k2, group)."""
-    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_k1"), F.col("_k2"))
-    heads = named.groupBy("group").agg(F.min_by(F.struct("_k1", "_k2"), place).alias("head")).select("head.*")
-    found = keyed.join(heads, ["_k1", "_k2"], "left_semi")
-    return found.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")  # rows equal in every column
+def _first_of(keyed: DataFrame, k1: str, k2: str, named: DataFrame) -> DataFrame:
+    """The first row of each group by (doc_id, row key), ids before nulls; named: (doc_id, k1, k2, group)."""
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(k1), F.col(k2))
+    heads = named.groupBy("group").agg(F.min_by(F.struct(k1, k2), place).alias("head")).select("head.*")
+    found = keyed.join(heads, [k1, k2], "left_semi")
+    return found.dropDuplicates([k1, k2]).drop(k1, k2)  # rows equal in every column
 
 
 def _marks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -291,20 +294,22 @@ def keep_one_per_group(docs: DataFrame, radius: int = RADIUS, words: int = WORDS
     Rows of a group that share the id are told apart by a hash of the whole row. Every group keeps
     exactly one row, whatever ids its rows have or share with other groups. With `similarity`, a link
     also needs that exact Jaccard similarity of the texts' shingles of `words` words; give a wide radius.
+    Null texts count as empty, texts of any length are read whole, other columns may have any name and
+    type, and an empty table gives no rows.
     """
-    keyed = _keyed(docs)
+    keyed, k1, k2 = _keyed(docs)
     if similarity is None:
-        rows = durable(fingerprints(keyed, keep=("_k1", "_k2"), words=words))
+        rows = durable(fingerprints(keyed, keep=(k1, k2), words=words))
         roots = connected_components(fingerprint_links(rows.select("fp").distinct(), radius))
         own = F.col("fp")
     else:
         text = F.coalesce("text", F.lit(""))
-        rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_k1", "_k2", F.xxhash64(text).alias("t1"))
+        rows = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), k1, k2, F.xxhash64(text).alias("t1"))
         texts = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"), text.alias("text"))
         roots = near_copies(written(texts.dropDuplicates(["t1", "t2"])), words, radius, similarity)
         own = F.col("t1")
     named = rows.join(roots, own == F.col("node"), "left")
-    return _first_of(keyed, named.select("doc_id", "_k1", "_k2", F.coalesce("component", own).alias("group")))
+    return _first_of(keyed, k1, k2, named.select("doc_id", k1, k2, F.coalesce("component", own).alias("group")))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

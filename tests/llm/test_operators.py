@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, licenses, lines, media, mixing, packing, simhash, substrings, toxicity, vptree
+from millrace.llm.common import written
 from millrace.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -254,6 +255,25 @@ def test_near_copies_of_a_line(spark):
     assert got[0].n_removed == 0 and all(r.n_removed >= 1 for r in got[1:])
 
 
+def test_lines_that_repeat_themselves(spark):
+    """Lines of the same shingles are similar, however often each repeats them."""
+    rows = [(1, "abc " * 20 + "x"), (2, "abc " * 60 + "x"), (3, "abc " * 500 + "x"), (4, "an entirely other line of text that stays")]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), k=5).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_near_duplicate_stage_with_clashing_columns(spark):
+    """Columns of any name and type, null ids, repeated rows and an empty table."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, {"a": 1}, 5, 6, 7), (2, text, {"b": 2}, 5, 6, 7), (None, "other text", None, None, None, None), (None, "other text", None, None, None, None), (3, None, {}, 1, 1, 1), (4, "", {}, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, _k1 int, fp int, `group` int").withColumn("v", F.parse_json(F.lit("{}")))
+    for args in ((16, 5, 0.8), ()):
+        got = simhash.keep_one_per_group(df, *args)
+        assert got.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in got.select("doc_id", "text").collect()) == [(0, "other text"), (1, text), (3, "")]
+        assert simhash.keep_one_per_group(df.limit(0), *args).count() == 0
+
+
 def test_lines_odd(odd, empty):
     got = lines.dedup_lines(odd).collect()
     assert len(got) == 9
@@ -543,7 +563,7 @@ def test_languages_survive_many_copies(spark):
     docs = spark.createDataFrame(copies, "lang string, text string").withColumn("doc_id", F.monotonically_increasing_id())
     for rows in (docs, docs.where("lang = 'de'"), docs.where("lang <> 'en'")):
         model = langid.fit_languages(rows, sample_rows=30)
-        asked = rows.select("lang", "text").distinct().withColumn("doc_id", F.monotonically_increasing_id()).localCheckpoint()
+        asked = written(rows.select("lang", "text").distinct().withColumn("doc_id", F.monotonically_increasing_id()))
         got = langid.predict_language(asked, model).join(asked, "doc_id").collect()
         assert got and all(r.lang_pred == r.lang for r in got)
 
