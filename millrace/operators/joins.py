@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.network import network_key, prefix_length
+from .cut import written
 
 
 def with_names(changes: DataFrame, resources: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -95,18 +96,23 @@ def type_matches(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame
     return x.join(y, "_f").select(left, right).distinct()
 
 
-def place(df: DataFrame, id_col: str, own: str, candidates: DataFrame, parents: DataFrame, rounds: int = 6) -> DataFrame:
-    """(id, place): own place, else the only candidate's, else the nearest placed parent's.
+def place(df: DataFrame, id_col: str, own: str, candidates: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id, place): own place, else the only candidate's, else the nearest placed ancestor's.
 
-    candidates: (id, place) rows; parents: (id, parent). At most `rounds` generations are followed.
+    candidates: (id, place) rows; parents: (id, parent). Rounds go on until no row gets a place any
+    more: each takes the ancestor's place where there is one, and else doubles the way up.
     """
     only = candidates.groupBy(id_col).agg(F.collect_set("place").alias("_s")).where(F.size("_s") == 1).select(id_col, F.get("_s", 0).alias("_c"))
-    out = df.join(only, id_col, "left").select(id_col, F.coalesce(own, "_c").alias("place"))
-    up = parents.select(id_col, "parent")
-    for _ in range(rounds):
-        above = out.select(F.col(id_col).alias("parent"), F.col("place").alias("_up"))
-        out = out.join(up, id_col, "left").join(above, "parent", "left").select(id_col, F.coalesce("place", "_up").alias("place"))
-    return out
+    first = df.join(only, id_col, "left").select(id_col, F.coalesce(own, "_c").alias("place"))
+    out = written(first.join(parents.select(id_col, "parent"), id_col, "left"))
+    known = -1
+    while (now := out.agg(F.count("place"), F.count(F.when(F.col("place").isNull(), F.col("parent")))).first())[1] and now != known:
+        known = now
+        above = out.select(F.col(id_col).alias("parent"), F.col("place").alias("_up"), F.col("parent").alias("_further"))
+        met = out.join(above, "parent", "left")
+        further = F.when(F.col("place").isNull() & F.col("_up").isNull(), F.col("_further")).otherwise(F.col("parent"))
+        out = written(met.select(id_col, F.coalesce("place", "_up").alias("place"), further.alias("parent")))
+    return out.select(id_col, "place")
 
 
 def resolve(asked: DataFrame, owners: DataFrame, key: str, tiers: list[tuple[Column, bool]], order: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cloud import record_key, record_key_sql
+from ..functions.filters import ignore_regex
 from ..functions.json import cell_text, json_type, preview
 from ..sources.documents import explode_variant
 
@@ -56,7 +57,10 @@ def _steps() -> str:
     size = lambda s: f"size({items(s)})"
     here = f"n < {size('w.a')} AND n < {size('w.b')}"
     place = f"CASE WHEN {here} THEN '[' || n || ']' WHEN n >= {size('w.a')} THEN '[+]' ELSE '[-]' END"
-    placed = f"transform(sequence(0, greatest({size('w.a')}, {size('w.b')}) - 1), n -> {part(place, f'get({items(chr(119) + chr(46) + chr(97))}, n)', f'get({items(chr(119) + chr(46) + chr(98))}, n)', f'NOT ({here})')})"
+    # An element on one side only is told by its id, if it has one.
+    own = lambda s: f"get({items(s)}, n)"
+    told = lambda s: f"CASE WHEN NOT ({here}) AND get({ids(s)}, n) IS NOT NULL THEN {name.replace('i)', f'get({ids(s)}, n))')} ELSE {own(s)} END"
+    placed = f"transform(sequence(0, greatest({size('w.a')}, {size('w.b')}) - 1), n -> {part(place, told('w.a'), told('w.b'), f'NOT ({here})')})"
     return f"""CASE WHEN schema_of_variant(w.a) LIKE 'OBJECT%' THEN {objects}
       WHEN {tags('w.a')} AND {tags('w.b')} THEN {tagged}
       WHEN {plain('w.a')} AND {plain('w.b')} THEN concat({more}, {less})
@@ -64,12 +68,13 @@ def _steps() -> str:
       ELSE {placed} END"""
 
 
-def record_diff(before: DataFrame, after: DataFrame, id_cols: list[str], value_col: str, ignore: str | None = None) -> DataFrame:
+def record_diff(before: DataFrame, after: DataFrame, id_cols: list[str], value_col: str, ignore: list[str] | None = None) -> DataFrame:
     """(id..., path, old, new): fields that differ between two versions of a record.
 
     Objects are compared by key, tag lists as maps, lists of scalars as sets ([+], [-]), lists of
     objects by the ids of their elements ([sg-1]) where each has one of its own, else by place.
-    Paths that match the regular expression `ignore` are left out with all below them. Rows on
+    Elements added or removed by place are told by their id, if they have one. Paths that match a
+    pattern of `ignore` (as of `filters.ignored`) are left out with all below them. Rows on
     one side only are no difference here (`snapshot_diff` lists them). One recursive query over
     the pairs; equal parts are not followed.
     """
@@ -77,7 +82,7 @@ def record_diff(before: DataFrame, after: DataFrame, id_cols: list[str], value_c
     own = ", ".join(f"w.`{c}`" for c in id_cols)
     pairs = before.select(*id_cols, F.col(value_col).alias("a")).join(after.select(*id_cols, F.col(value_col).alias("b")), id_cols)
     path = "CASE WHEN w.path = '' AND e.part LIKE '.%' THEN substring(e.part, 2) ELSE w.path || e.part END"
-    noisy = f"AND NOT ({path}) RLIKE '{ignore}'".replace("\\", "\\\\") if ignore else ""
+    noisy = f"AND NOT ({path}) RLIKE :ignore" if ignore else ""
     open_pair = "(schema_of_variant(a) LIKE 'OBJECT%' AND schema_of_variant(b) LIKE 'OBJECT%' OR schema_of_variant(a) LIKE 'ARRAY%' AND schema_of_variant(b) LIKE 'ARRAY%')"
     before.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the default counts rows of all records
     rows = before.sparkSession.sql(
@@ -89,6 +94,7 @@ def record_diff(before: DataFrame, after: DataFrame, id_cols: list[str], value_c
           FROM w, LATERAL (SELECT {_ids('w.a')} AS a_ids, {_ids('w.b')} AS b_ids) named, LATERAL inline({_steps()}) e(part, a, b, whole)
           WHERE w.followed AND NOT to_json(e.a) <=> to_json(e.b) {noisy})
         SELECT {ids}, path, a, b FROM w WHERE NOT followed""",
+        {"ignore": ignore_regex(ignore)} if ignore else None,
         pairs=pairs,
     )
     return rows.select(*id_cols, "path", cell_text(F.col("a")).alias("old"), cell_text(F.col("b")).alias("new"))

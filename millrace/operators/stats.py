@@ -111,11 +111,11 @@ def unread(changes: DataFrame, pages: DataFrame, page: str) -> DataFrame:
     return pages.select(page).distinct().join(counts, page, "left").na.fill(0, ["n"])
 
 
-def run_summary(changes: DataFrame, id_col: str, floor: int, kinds: list[str], done: int) -> DataFrame:
-    """One row: a count for every kind since `floor`, unchanged = done less all of them."""
-    own = changes.where(F.col(id_col) > floor)
-    out = own.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
-    return out.withColumn("unchanged", F.lit(done) - sum((F.col(k) for k in kinds), F.lit(0)))
+def run_summary(changes: DataFrame, id_col: str, floor: int, kinds: list[str], items: DataFrame) -> DataFrame:
+    """One row: a count for every kind since `floor`, unchanged = rows of `items` less all of them."""
+    since = [F.count_if((F.col(id_col) > floor) & (F.col("kind") == k)).alias(k) for k in kinds]
+    out = changes.agg(*since).crossJoin(items.agg(F.count(F.lit(1)).alias("_all")))  # one row each
+    return out.select(*kinds, (F.col("_all") - sum((F.col(k) for k in kinds), F.lit(0))).alias("unchanged"))
 
 
 def report_summary(df: DataFrame, verdict: str) -> DataFrame:

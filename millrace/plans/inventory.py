@@ -114,7 +114,7 @@ def unread(spark, sf):
 
 def run_summary(spark, sf):
     rows = table(spark, sf, "events").select("event_id", F.col("event_type").alias("kind"))
-    return stats.run_summary(rows, "event_id", 500, ["view", "click", "error"], 10_000)
+    return stats.run_summary(rows, "event_id", 500, ["view", "click", "error"], rows)
 
 
 def impact_counts(spark, sf):
@@ -154,7 +154,7 @@ def placed(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("own"))
     cand = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("place"))
     parents = rows.select("id", (F.col("id") - 1).alias("parent")).where("id % 3 > 0")
-    return joins.place(rows, "id", "own", cand, parents, 2)
+    return joins.place(rows, "id", "own", cand, parents)
 
 
 def resolved(spark, sf):
@@ -386,7 +386,7 @@ ORACLE = {
     "common_roles": "SELECT p_name, n, rank FROM (SELECT p_name, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_name) AS INT) AS rank FROM part GROUP BY 1) WHERE rank = 1 OR n > 1",
     "mean_durations": "SELECT event_type, count(*) AS runs, avg(value) AS mean FROM events GROUP BY 1",
     "unread": "SELECT page_id, coalesce(n, 0) AS n FROM pages LEFT JOIN (SELECT event_id % 300 AS p, count(*) AS n FROM events WHERE NOT value > 50 GROUP BY 1) ON p = page_id",
-    "run_summary": "SELECT v AS view, c AS click, e AS error, 10000 - v - c - e AS unchanged FROM (SELECT count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS e FROM events WHERE event_id > 500)",
+    "run_summary": "SELECT v AS view, c AS click, e AS error, (SELECT count(*) FROM events) - v - c - e AS unchanged FROM (SELECT count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS e FROM events WHERE event_id > 500)",
     "impact_counts": "SELECT 'orders' AS part, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3) UNION ALL SELECT 'events', count(*) FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)",
     "stored_bytes": "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents GROUP BY 1",
     "failed_items": "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25",

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.cut import shared_folder
 from ..sources.tables import table
 from ..streaming import streams
 
 
 def _folder(spark) -> str:
-    """Where checkpoints and outputs go: the shared folder that the session names, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """Where checkpoints and outputs go: below the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf):
@@ -44,9 +43,20 @@ def stream_pages(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
-QUERIES = {f.__name__: f for f in (stream_log, stream_visits, stream_pages)}
+def stream_lifetimes(spark, sf):
+    """Lives of users' event types that ended, by two days without an event."""
+    folder = _folder(spark)
+    lives = streams.lifetimes(_events(spark, sf).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "2 days", "1 hour")
+    lives.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+QUERIES = {f.__name__: f for f in (stream_log, stream_visits, stream_pages, stream_lifetimes)}
 
 ORACLE = {
+    "stream_lifetimes": """WITH g AS (SELECT user_id, event_type, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 DAY THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+      l AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS life FROM g)
+      SELECT user_id, event_type, min(ts) AS started, max(ts) AS last, count(*) AS n FROM l GROUP BY user_id, event_type, life HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "stream_log": "SELECT event_id, event_type FROM events",
     "stream_visits": "SELECT user_id, event_type, max(ts) AS ts FROM events GROUP BY ALL",
     "stream_pages": "SELECT DISTINCT event_type AS root, user_id AS page, CAST(floor(value) AS BIGINT) AS fingerprint FROM events",

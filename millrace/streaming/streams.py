@@ -33,27 +33,77 @@ def windowed_counts(stream: DataFrame, ts: str, key: str, size: str = "1 hour",
     return stream.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def upsert_batches(stream: DataFrame, target: str, key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest row of each key in a table folder, one version a batch.
+def lifetimes(stream: DataFrame, key: list[str], ts: str, idle: str = "183 days", late: str = "1 day") -> DataFrame:
+    """(key, started, last, n): every life of a key, ended by `idle` without a row.
 
-    A batch writes target/v=<n>; readers take the largest n (`newest_version`), so a repeated batch is harmless.
+    A key's state goes when its life is over, and a key that returns starts a new life; rows up to `late`
+    behind still count, older ones are dropped. In append mode a life comes once it has ended.
+    Rows without a time belong to no life.
+    """
+    seen = stream.where(F.col(ts).isNotNull()).withWatermark(ts, late)
+    out = seen.groupBy(F.session_window(ts, idle).alias("life"), *key).agg(F.max(ts).alias("last"), F.count(F.lit(1)).alias("n"))
+    return out.select(*key, F.col("life.start").alias("started"), "last", "n")
+
+
+def upsert_batches(stream: DataFrame, target: str, key: list[str], order: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the latest row of each key in a table folder.
+
+    Keys are dealt to buckets. A batch writes target/v=<n>/bucket=<b> for the buckets that it touches and
+    reads only those of the versions before; other buckets stay as they are. Readers take each bucket's
+    largest version (`newest_version`), so a repeated batch is harmless. Versions that the batch before
+    has already replaced are deleted, so that readers of the last one are not disturbed.
     """
 
     def apply(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if n:
-            rows = batch.unionByName(spark.read.parquet(f"{target}/v={n - 1}"))
-        newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{target}/v={n}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        held = _held(spark, target, n)
+        if any(b in held for b in touched):
+            paths = [f"{target}/v={held[b][0]}/bucket={b}" for b in touched if b in held]
+            old = spark.read.schema(batch.schema).parquet(*paths)
+            rows = rows.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+        columns = batch.columns
+        newest = rows.groupBy("bucket", *key).agg(F.max_by(F.struct(*columns), order).alias("r")).select("bucket", "r.*")
+        newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={n}")
+        for b in touched:
+            for v in held.get(b, [])[1:]:
+                _delete(spark, f"{target}/v={v}/bucket={b}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reads; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _held(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[int]]:
+    """Each bucket's complete versions, newest first, of batches earlier than `before`."""
+    versions = sorted((int(v[2:]) for v in _files(spark, target) if v.startswith("v=")), reverse=True)
+    out: dict[int, list[int]] = {}
+    for v in versions:
+        names = _files(spark, f"{target}/v={v}")
+        if (before is None or v < before) and "_SUCCESS" in names:
+            for b in names:
+                if b.startswith("bucket="):
+                    out.setdefault(int(b[7:]), []).append(v)
+    return out
+
+
 def newest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The table that `upsert_batches` keeps, as of its last batch; other versions are pruned."""
-    versions = spark.read.parquet(target)
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+    """The table that `upsert_batches` keeps: each bucket as of the last batch that touched it; only these are read."""
+    held = _held(spark, target)
+    return spark.read.parquet(*[f"{target}/v={versions[0]}/bucket={b}" for b, versions in sorted(held.items())])
 
 
 def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import cloud, filters, json, network, secrets, values
-from millrace.operators import changes, compare, hierarchy, network as net, records, search, tables, textdiff
+from millrace.operators import changes, compare, hierarchy, joins, network as net, records, search, tables, textdiff
 from millrace.sources import documents
 from millrace.streaming import streams
 
@@ -215,7 +215,7 @@ def test_record_diff(spark):
     before = '{"Tags": [{"Key": "Name", "Value": "a"}, {"Key": "x", "Value": "1"}], "groups": [{"GroupId": "sg-1", "n": 1}, {"GroupId": "sg-2", "n": 1}], "l": [{"v": 1}, {"v": 2}], "p": [80, 443], "time": 1, "s": {"n": "on"}, "k": [1]}'
     after = '{"Tags": [{"Key": "x", "Value": "2"}, {"Key": "Name", "Value": "a"}], "groups": [{"GroupId": "sg-2", "n": 5}, {"GroupId": "sg-3"}], "l": [{"v": 1}, {"v": 3}, {"v": 4}], "p": [443, 22], "time": 2, "s": "on", "k": [1]}'
     side = lambda t: spark.createDataFrame([(1, t), (2, "{}"), (3, None)], "id int, t string").select("id", json.parse("t").alias("j"))
-    got = records.record_diff(side(before), side(after), ["id"], "j", r"time$").collect()
+    got = records.record_diff(side(before), side(after), ["id"], "j", ["time", "it's"]).collect()
     want = {
         ("Tags.x", "1", "2"), ("groups[sg-2].n", "1", "5"), ("groups[+]", "", "sg-3"), ("groups[-]", "sg-1", ""), ("l[1].v", "2", "3"), ("l[+]", "", '{"v":4}'),
         ("p[+]", "", "22"), ("p[-]", "80", ""), ("s", '{"n":"on"}', "on"),
@@ -223,6 +223,16 @@ def test_record_diff(spark):
     assert {tuple(r)[1:] for r in got} == want and {r.id for r in got} == {1}
 
 
+def test_record_diff_by_place_and_patterns(spark):
+    """Elements on one side only go by their ids even where the lists go by place; patterns cover what lies below."""
+    before = '{"l": [{"GroupId": "sg-1"}, {"v": 1}, {"GroupId": "sg-9", "x": 1}], "deep": {"a": {"b": 1, "c": 1}}, "Meta": {"x": 1}}'
+    after = '{"l": [{"GroupId": "sg-1"}, {"v": 1}], "deep": {"a": {"b": 2, "c": 2}}, "Meta": {"x": 2}}'
+    side = lambda t: spark.createDataFrame([(1, t)], "id int, t string").select("id", json.parse("t").alias("j"))
+    run = lambda a, b, *ignore: {tuple(r)[1:] for r in records.record_diff(side(a), side(b), ["id"], "j", list(ignore) or None).collect()}
+    assert run(before, after, "Meta", "deep.*.c") == {("l[-]", "sg-9", ""), ("deep.a.b", "1", "2")}
+    assert run(after, before, "**.a", "x") == {("l[+]", "", "sg-9")}
+
+
 def test_identities_by_level_and_loop(spark):
     columns = "label string, type string, id string, name string, fields string, default boolean, vpc string, parent string"
     entries = spark.createDataFrame(
@@ -267,3 +277,46 @@ def test_streams_over_several_files(spark, tmp_path):
     # The row ten past midnight comes four days late, two batches after the watermark passed its hour (late rows
     # are held against the watermark of the batch before): the hour is closed and keeps its count.
     assert {(r.page, r.n) for r in counts.collect()} == {("a", 1), ("b", 1)}
+
+
+def test_lives_of_pages_over_several_files(spark, tmp_path):
+    """A page idle for 183 days starts again; rows a little late join their life, very late ones are dropped; equal to the batch query."""
+    files = [
+        [("a", "2024-01-01 00:00:00"), ("b", "2024-01-02 00:00:00"), ("x", None)], [("a", "2024-03-01 00:00:00"), ("b", "2024-02-29 12:00:00")],  # b comes half a day late
+        [("c", "2024-12-01 00:00:00")], [("a", "2024-12-02 00:00:00"), ("c", "2023-01-01 00:00:00")],  # a returns; the row of c is two years late
+        [("d", "2025-10-01 00:00:00")], [("d", "2025-10-02 00:00:00")],
+    ]
+    for i, rows_ in enumerate(files):
+        spark.createDataFrame(rows_, "page string, ts string").select("page", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = streams.file_stream(spark, "page string, ts timestamp", str(tmp_path / "in" / "*"), 1)
+    key = lambda rows_: sorted((r.page, str(r.started), str(r["last"]), r.n) for r in rows_)
+    lives = key(streams.run_to_table(streams.lifetimes(stream, ["page"], "ts"), "lives", "append", str(tmp_path / "state")).collect())
+    assert lives == [
+        ("a", "2024-01-01 00:00:00", "2024-03-01 00:00:00", 2), ("a", "2024-12-02 00:00:00", "2024-12-02 00:00:00", 1), ("b", "2024-01-02 00:00:00", "2024-02-29 12:00:00", 2), ("c", "2024-12-01 00:00:00", "2024-12-01 00:00:00", 1),
+    ]
+    batch = spark.read.parquet(str(tmp_path / "in" / "*")).where("ts > '2023-06-01'")
+    ended = F.col("last") + F.expr("INTERVAL 183 DAYS") <= F.lit("2025-10-01").cast("timestamp")
+    assert lives == key(streams.lifetimes(batch, ["page"], "ts").where(ended).collect())
+
+
+def test_upserts_touch_their_buckets_only(spark, tmp_path):
+    for i in range(4):
+        rows_ = [(k, f"2024-01-0{i + 1} 00:00:00", i) for k in (range(200) if i == 0 else (i, 77))]
+        spark.createDataFrame(rows_, "page int, ts string, n int").select("page", F.col("ts").cast("timestamp"), "n").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = streams.file_stream(spark, "page int, ts timestamp, n int", str(tmp_path / "in" / "*"), 1)
+    target = str(tmp_path / "t")
+    streams.upsert_batches(stream, target, ["page"], "ts", str(tmp_path / "s"), buckets=16).awaitTermination()
+    got = {r.page: r.n for r in streams.newest_version(spark, target).collect()}
+    assert got == {k: 0 for k in range(200)} | {1: 1, 2: 2, 3: 3, 77: 3}
+    kept = {v.name: sorted(b.name for b in v.iterdir() if b.name.startswith("bucket")) for v in (tmp_path / "t").iterdir()}
+    assert len(kept["v=0"]) < 16 and all(len(kept[f"v={i}"]) <= 2 for i in (2, 3))
+    assert sum(map(len, kept.values())) <= 16 + 4  # of each bucket the last version and the one before
+
+
+def test_place_follows_all_generations(spark):
+    ids = list(range(40)) + [100, 101, 200]
+    df = spark.createDataFrame([(i, "top" if i == 0 else None) for i in ids], "id int, own string")
+    parents = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(100, 101), (101, 100), (200, 999)], "id int, parent int")
+    candidates = spark.createDataFrame([(25, "mid"), (26, "x"), (26, "y"), (200, None)], "id int, place string")
+    got = {r.id: r.place for r in joins.place(df, "id", "own", candidates, parents).collect()}
+    assert got == {i: "top" if i < 25 else "mid" for i in range(40)} | {100: None, 101: None, 200: None}
