@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.json import any_of
+from .cut import written
 
 SPLIT = r"[^\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
@@ -20,6 +21,25 @@ def build_index(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return rows
 
 
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SPLIT), lambda x: x != "")
+
+
+def term_rows(df: DataFrame, id_col: str, fields: list[str], terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((id, field, pos, token) of the terms alone, (id, len) of all documents), by one pass over the texts.
+
+    The places of the terms are picked inside each row, so no other token is ever a row. Both come from
+    one table in the shared folder. Ids must name the documents; repeated ids are one document.
+    """
+    wanted = list(dict.fromkeys(terms))
+    parts = [F.struct(F.lit(f).alias("field"), _tokens(F.col(f)).alias("t")) for f in fields]
+    rows = df.select(id_col, F.array(*parts).alias("p"))
+    places = lambda p: F.filter(F.transform(p["t"], lambda x, i: F.struct(p["field"].alias("field"), i.alias("pos"), x.alias("token"))), lambda s: s["token"].isin(*wanted))
+    length = F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + F.size(p["t"]))
+    kept = written(rows.select(id_col, length.alias("len"), F.flatten(F.transform("p", places)).alias("hits")))
+    return kept.select(id_col, F.explode("hits").alias("h")).select(id_col, "h.field", "h.pos", "h.token"), kept.groupBy(id_col).agg(F.sum("len").alias("len")).where("len > 0")
+
+
 def words_of(query: str) -> list[str]:
     import re
 
@@ -52,13 +72,14 @@ def tightest(index: DataFrame, id_col: str, terms: list[str]) -> DataFrame:
     return complete.groupBy(id_col).agg(F.min(F.col("pos") - least + 1).alias("width"))
 
 
-def bm25(index: DataFrame, id_col: str, terms: list[str], weights: dict[str, float] | None = None) -> DataFrame:
+def bm25(index: DataFrame, id_col: str, terms: list[str], weights: dict[str, float] | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(id, score): Okapi BM25 with field weights, idf at least 1e-6 (M5).
 
-    Document lengths and the average come from the whole index; only matching postings are joined.
+    Document lengths (id, len) and the average come from `lengths`, by default from the whole index;
+    only matching postings are joined.
     """
     weight = F.coalesce(F.create_map(*[x for k, v in (weights or {}).items() for x in (F.lit(k), F.lit(v))])[F.col("field")], F.lit(1.0)) if weights else F.lit(1.0)
-    lengths = index.groupBy(id_col).agg(F.count(F.lit(1)).alias("len"))
+    lengths = index.groupBy(id_col).agg(F.count(F.lit(1)).alias("len")) if lengths is None else lengths
     totals = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
     hits = index.where(F.col("token").isin(*terms)).groupBy(id_col, "token").agg(F.sum(weight).alias("tf"))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -68,14 +89,17 @@ def bm25(index: DataFrame, id_col: str, terms: list[str], weights: dict[str, flo
     return rows.groupBy(id_col).agg(F.sum(part).alias("score"))
 
 
-def ranked_matches(index: DataFrame, id_col: str, query: str, excluded: str = "", near: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
-    """(id, tier, score): documents with all terms and no excluded one; tier 3 exact phrase, 2 all within `near` tokens, 1 all (M3, M4)."""
+def ranked_matches(index: DataFrame, id_col: str, query: str, excluded: str = "", near: int = 10, weights: dict[str, float] | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """(id, tier, score): documents with all terms and no excluded one; tier 3 exact phrase, 2 all within `near` tokens, 1 all (M3, M4).
+
+    index: (id, field, pos, token) of all tokens, or with `lengths` of these terms at least (`term_rows`, `postings.select`).
+    """
     terms = list(dict.fromkeys(words_of(query)))
     found = having_terms(index, id_col, terms)
     if excluded:
         found = found.join(having_terms(index, id_col, words_of(excluded), all_of=False), id_col, "left_anti")
     phrase = having_phrase(index, id_col, words_of(query)).withColumn("_p", F.lit(True))
-    rows = found.join(phrase, id_col, "left").join(tightest(index, id_col, terms), id_col, "left").join(bm25(index, id_col, terms, weights), id_col)
+    rows = found.join(phrase, id_col, "left").join(tightest(index, id_col, terms), id_col, "left").join(bm25(index, id_col, terms, weights, lengths), id_col)
     tier = F.when(F.col("_p"), 3).when(F.col("width") - 1 <= near, 2).otherwise(1)
     return rows.select(id_col, tier.alias("tier"), "score")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import filters, network, secrets
-from ..operators import compare, hierarchy, search, textdiff
+from ..operators import compare, hierarchy, postings, search, textdiff
 from ..operators import network as net
+from ..operators.cut import shared_folder
 from ..operators.joins import attach_rules, join_cidr, pair_sides
 from ..operators.joins import longest_prefix as longest
 from ..sources.tables import table
@@ -43,7 +46,22 @@ def bm25_top(spark, sf):
 
 
 def ranked_search(spark, sf):
-    found = search.ranked_matches(_index(spark, sf), "doc_id", "apache license", excluded="reserved")
+    docs = table(spark, sf, "documents").withColumn("title", F.col("source"))
+    rows, lengths = search.term_rows(docs, "doc_id", ["text", "title"], ["apache", "license", "reserved"])
+    found = search.ranked_matches(rows, "doc_id", "apache license", excluded="reserved", lengths=lengths)
+    return found.select("doc_id", "tier", F.round("score", 6).alias("score"))
+
+
+def stored_search(spark, sf):
+    """The ranked search over a stored index, a third of whose documents were written again and a fifth deleted and added."""
+    docs = table(spark, sf, "documents").withColumn("title", F.col("source"))
+    index = postings.PostingIndex(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", "doc_id", ["text", "title"])
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("apache license old "), "text")).otherwise(F.col("text"))
+    index.write(docs.where("doc_id % 5 > 0").withColumn("text", old))
+    index.refresh(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 10 = 1").select("doc_id"))
+    index.refresh(docs.where("doc_id % 10 = 1 OR doc_id % 5 = 0"))
+    rows, lengths = index.select(["apache", "license", "reserved"])
+    found = search.ranked_matches(rows, "doc_id", "apache license", excluded="reserved", lengths=lengths)
     return found.select("doc_id", "tier", F.round("score", 6).alias("score"))
 
 
@@ -400,3 +418,4 @@ ORACLE = {
     "branch_context": "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 400 = 7)",
     "masked": "SELECT c_custkey, '********' || right(c_name, 4) AS name, '********' AS segment FROM customer",
 }
+ORACLE["stored_search"] = ORACLE["ranked_search"]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.cut import delete, names_in
+
 
 def file_stream(spark: SparkSession, schema, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet file source; its checkpoint is the high-water mark of what was read."""
@@ -70,29 +72,17 @@ def upsert_batches(stream: DataFrame, target: str, key: list[str], order: str, c
         newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={n}")
         for b in touched:
             for v in held.get(b, [])[1:]:
-                _delete(spark, f"{target}/v={v}/bucket={b}")
+                delete(spark, f"{target}/v={v}/bucket={b}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _files(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder of any file system that Spark reads; none if it is not there."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def _held(spark: SparkSession, target: str, before: int | None = None) -> dict[int, list[int]]:
     """Each bucket's complete versions, newest first, of batches earlier than `before`."""
-    versions = sorted((int(v[2:]) for v in _files(spark, target) if v.startswith("v=")), reverse=True)
+    versions = sorted((int(v[2:]) for v in names_in(spark, target) if v.startswith("v=")), reverse=True)
     out: dict[int, list[int]] = {}
     for v in versions:
-        names = _files(spark, f"{target}/v={v}")
+        names = names_in(spark, f"{target}/v={v}")
         if (before is None or v < before) and "_SUCCESS" in names:
             for b in names:
                 if b.startswith("bucket="):
