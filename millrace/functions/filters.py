@@ -92,6 +92,19 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return path.rlike(ignore_regex(patterns))
 
 
+def inventory_filter(account: str | None = None, kind: str | None = None, region: str | None = None, columns: tuple[str, ...] = ("profile", "account", "type", "service", "region")) -> Column:
+    """Rows of an inventory: an account by its profile or its number (with or without dashes), a kind as type or service, a region."""
+    profile, number, type_, service, place = (F.col(c) for c in columns)
+    out = F.lit(True)
+    if account:
+        out &= (profile == account) | (number == account.replace("-", ""))
+    if kind:
+        out &= (type_ == kind) | (service == kind)
+    if region:
+        out &= place == region
+    return F.coalesce(out, F.lit(False))
+
+
 def belongs_to(url: Column, base: str) -> Column:
     """Same scheme and host, and a path at or below the base's (C14)."""
     m = re.match(r"(\w+)://([^/]+)(/.*?)?/?$", base)

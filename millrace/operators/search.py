@@ -104,6 +104,14 @@ def ranked_matches(index: DataFrame, id_col: str, query: str, excluded: str = ""
     return rows.select(id_col, tier.alias("tier"), "score")
 
 
+def by_relevance(found: DataFrame, docs: DataFrame, id_col: str, title: str, recent: str | None = None, k: int = 20) -> DataFrame:
+    """The first `k` of `ranked_matches` with their places: by tier, score, latest time if `recent` names one, then title and id."""
+    order = [F.desc("tier"), F.desc("score"), *([F.desc_nulls_last(recent)] if recent else []), F.asc_nulls_last(title), F.asc(id_col)]
+    rows = found.join(docs.select(id_col, title, *([recent] if recent else [])), id_col)
+    top = rows.orderBy(*order).limit(k)  # a heap a task, then k rows in one
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def search_text(df: DataFrame, id_col: str, text: str, query: str, recency: str | None = None) -> DataFrame:
     """(id, hits): rows whose text holds every word as a substring (M6)."""
     low = F.lower(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,31 +137,65 @@ def impact_counts(ids: DataFrame, children: dict[str, DataFrame], key: str) -> D
     return out
 
 
-# Environment and category rules over names, first match wins.
-ENVIRONMENTS = ("production", "prod", "preprod", "staging", "stage", "test", "uat", "dev", "sandbox")
+# Environments in order, each with the words that may end a name.
+ENVIRONMENTS = {
+    "Non-prod": ["nonprod", "non-prod", "nonprd", "nonp", "np", "lower"],
+    "Prod": ["prod", "production", "prd", "live", "prdn"],
+    "Stage": ["stage", "staging", "stg", "preprod", "pre-prod", "pre", "uat", "mtf", "perf", "cert"],
+    "Test": ["test", "testing", "tst", "qa", "sit", "int", "integration"],
+    "Dev": ["dev", "develop", "development", "work"],
+    "Sandbox": ["sandbox", "sbx", "lab", "poc", "demo"],
+    "DR": ["dr", "disasterrecovery"],
+}
+OTHER = "Other accounts"
+#: A short default; a full set of rules (category -> words, in order of priority) is the caller's to give.
 CATEGORIES = {
-    "network": "network|transit|dns|firewall", "security": "security|audit|guard|vault", "logging": "log|trail|monitor", "data": "data|lake|warehouse|analytics",
-    "shared": "shared|common|platform|tools", "payer": "payer|billing|master", "sandbox": "sandbox|playground",
+    "Shared Services": ["shared", "centralized", "landingzone", "directory"], "Management & Billing": ["management", "billing", "payer", "governance"], "Security & Privacy": ["security", "audit", "kms", "vault", "compliance"],
+    "Identity & Access": ["identity", "-iam", "iam-", "-sso", "sso-", "access"], "Networking": ["network", "egress", "ingress", "firewall", "transit", "dns", "vpn", "proxy"], "Logging & Monitoring": ["logging", "-logs", "-log-", "monitor"],
+    "Backup & DR": ["backup", "recovery"], "Data & Analytics": ["data", "analytic", "lake", "warehouse"], "Databases": ["-db", "db-", "postgres", "mysql", "redis"], "Platform & DevOps": ["platform", "devops", "pipeline", "tools"],
+    "Sandbox & Experiments": ["sandbox", "playground", "experiment"],
 }
 
 
-def environment(c: Column) -> Column:
-    """The environment word among a name's parts: the last part that is one, longest word first."""
-    parts = F.split(F.lower(c), r"[^a-z0-9]+")
-    hits = F.filter(parts, lambda p: p.isin(*ENVIRONMENTS))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1))
-
-
-def category(c: Column, rules: dict[str, str] = CATEGORIES) -> Column:
-    """The first category whose pattern a name matches, else `other`; rules: (category, pattern) in order of priority."""
-    out = None
-    for name, pattern in rules.items():
-        out = (F if out is None else out).when(F.lower(c).rlike(pattern), name)
-    return out.otherwise("other")
-
-
-def accounts_by_category(df: DataFrame, name: str, rules: dict[str, str] = CATEGORIES) -> DataFrame:
-    """(category, names): names of each category in order of environment, then name."""
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(e) for e in ENVIRONMENTS]), environment(F.col(name))), F.lit(0))
-    own = df.select(category(F.col(name), rules).alias("category"), F.struct(F.when(rank == 0, 99).otherwise(rank).alias("r"), F.col(name).alias("name")).alias("x"))
-    return own.groupBy("category").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+def _joined(name: Column) -> Column:
+    """A name's parts in lower case joined by dashes, without a number at the end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[_.]", "-"), r"(?<=.)-\d+$", "")
+
+
+def environment(name: Column) -> Column:
+    """(name, base): the first environment one of whose words is the end of the name, and the name without it.
+
+    An account number may follow the environment; longer words are tried first; a name that is just the
+    word keeps it. `Other` without any.
+    """
+    joined = _joined(name)
+    out = F.struct(F.lit("Other").alias("name"), joined.alias("base"))
+    for env, words in reversed(ENVIRONMENTS.items()):
+        end = "(?:^|-)(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")$"
+        base = F.rtrim(F.regexp_replace(joined, end, ""), F.lit("-"))
+        out = F.when(joined.rlike(end), F.struct(F.lit(env).alias("name"), F.when(base == "", joined).otherwise(base).alias("base"))).otherwise(out)
+    return F.when(name.isNotNull(), out)
+
+
+def category(name: Column, rules: dict[str, list[str]] = CATEGORIES, noise: str | None = None) -> Column:
+    """The first category one of whose words stands anywhere in the name without its environment, else `Other accounts`.
+
+    Dashes mark the name's edges, so that `-db` or `co-` match whole parts. noise: a pattern of words
+    that say nothing, removed first.
+    """
+    base = environment(name)["base"]
+    edged = F.concat(F.lit("-"), F.regexp_replace(base, noise, "") if noise else base, F.lit("-"))
+    out = F.lit(OTHER)
+    for kind, words in reversed(rules.items()):
+        out = F.when(edged.rlike("|".join(map(re.escape, words))), kind).otherwise(out)
+    return F.when(name.isNotNull(), out)
+
+
+def accounts_by_category(df: DataFrame, name: str, rules: dict[str, list[str]] = CATEGORIES, noise: str | None = None) -> DataFrame:
+    """(category, names): categories in order of their rules, the other last; names by environment, then name."""
+    place = F.array_position(F.array(*[F.lit(e) for e in ENVIRONMENTS]), environment(F.col(name))["name"])
+    kind = category(F.col(name), rules, noise)
+    own = df.select(kind.alias("category"), F.struct(F.when(place == 0, len(ENVIRONMENTS) + 1).otherwise(place).alias("r"), F.col(name).alias("name")).alias("x"))
+    rank = F.array_position(F.array(*[F.lit(k) for k in rules]), F.col("category"))
+    out = own.groupBy("category").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
+    return out.orderBy(F.when(rank == 0, len(rules) + 1).otherwise(rank))  # at most a row a rule

@@ -95,7 +95,7 @@ def env_words(spark, sf):
 
 def name_category(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.concat_ws("-", F.regexp_replace("p_name", " ", "-"), F.element_at(F.array(F.lit("audit-prod"), F.lit("dns-dev"), F.lit("lake"), F.lit("other")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("name"))
-    return rows.select("p_partkey", stats.environment(F.col("name")).alias("environment"), stats.category(F.col("name")).alias("category"))
+    return rows.select("p_partkey", stats.environment(F.col("name"))["name"].alias("environment"), stats.category(F.col("name")).alias("category"))
 
 
 def common_roles(spark, sf):
@@ -382,7 +382,7 @@ ORACLE = {
     "activity": "SELECT user_id, count(*) AS n, max(CAST(ts AS DATE)) AS last_day FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-15' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "env_words": """WITH s AS (SELECT 'app-' || ['dev','prod','test','x'][s_suppkey % 4 + 1] || '-' || s_suppkey AS name, ['dev','prod','test','x'][s_suppkey % 4 + 1] AS word FROM supplier),
       c AS (SELECT word, count(*) AS n, min(name) AS example FROM s WHERE word <> 'x' GROUP BY 1) SELECT *, n >= greatest(2, max(n) OVER () * 0.2) AS main FROM c""",
-    "name_category": "SELECT p_partkey, [ 'prod', 'dev', NULL, NULL ][p_partkey % 4 + 1] AS environment, ['security','network','data','other'][p_partkey % 4 + 1] AS category FROM part",
+    "name_category": "SELECT p_partkey, ['Prod', 'Dev', 'Other', 'Other'][p_partkey % 4 + 1] AS environment, ['Security & Privacy', 'Networking', 'Data & Analytics', 'Other accounts'][p_partkey % 4 + 1] AS category FROM part",
     "common_roles": "SELECT p_name, n, rank FROM (SELECT p_name, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, p_name) AS INT) AS rank FROM part GROUP BY 1) WHERE rank = 1 OR n > 1",
     "mean_durations": "SELECT event_type, count(*) AS runs, avg(value) AS mean FROM events GROUP BY 1",
     "unread": "SELECT page_id, coalesce(n, 0) AS n FROM pages LEFT JOIN (SELECT event_id % 300 AS p, count(*) AS n FROM events WHERE NOT value > 50 GROUP BY 1) ON p = page_id",

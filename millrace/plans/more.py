@@ -216,7 +216,7 @@ ORACLE = {
     "denied_types": "SELECT s_suppkey % 6 AS type, string_agg(DISTINCT s_nationkey, ',' ORDER BY s_nationkey) AS regions FROM supplier WHERE s_acctbal < 3000 GROUP BY 1",
     "coverage_roll_up": "SELECT count(*) FILTER (c_custkey % 5 > 0 AND c_custkey % 3 = 0) AS complete, count(*) FILTER (c_custkey % 5 > 0 AND c_custkey % 3 > 0) AS with_gaps, count(*) FILTER (c_custkey % 5 = 0) AS unchecked FROM customer",
     "verdict_counts": "SELECT count(*) FILTER (l_returnflag = 'A') AS pass, count(*) FILTER (l_returnflag = 'N') AS fail, count(*) FILTER (l_returnflag = 'R') AS unknown FROM lineitem",
-    "accounts_by_category": "SELECT ['security', 'network', 'other'][s_suppkey % 3 + 1] AS category, string_agg(['audit', 'dns', 'x'][s_suppkey % 3 + 1] || '-' || ['dev', 'prod'][s_suppkey % 2 + 1] || '-' || printf('%04d', s_suppkey), ',' ORDER BY s_suppkey % 2 DESC, s_suppkey) AS names FROM supplier GROUP BY 1",
+    "accounts_by_category": "SELECT ['Security & Privacy', 'Networking', 'Other accounts'][s_suppkey % 3 + 1] AS category, string_agg(['audit', 'dns', 'x'][s_suppkey % 3 + 1] || '-' || ['dev', 'prod'][s_suppkey % 2 + 1] || '-' || printf('%04d', s_suppkey), ',' ORDER BY s_suppkey % 2 DESC, s_suppkey) AS names FROM supplier GROUP BY 1",
     "latest_change": "SELECT user_id, a AS created, z AS current, greatest(a, z) AS latest, CASE WHEN a > z THEN 'creator' ELSE 'author' END AS \"by\" FROM (SELECT user_id, arg_min(event_id, (ts, event_id)) AS a, arg_max(event_id, (ts, event_id)) AS z FROM events GROUP BY 1)",
     "severity_order": "SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY [3, 1, 4, 2][s_suppkey % 4 + 1], s_suppkey) AS INT) AS place FROM supplier",
     "function_text": r"SELECT p_partkey, upper(p_name) AS upcase, p_name LIKE '%ring' AS test, regexp_extract(p_name, '^(\w+) (\w+)$', 2) AS capture, regexp_replace(p_name, '[aeiou]', '_', 'g') AS gsub, array_to_string(list_reverse(string_split(p_name, ' ')), '/') AS joined, ascii(p_name) AS first, starts_with(p_name, 'red') AS starts, CAST(strlen(p_name) AS INT) AS bytes, CAST(instr(p_name, 'e') AS INT) AS at FROM part",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.functions import cloud, filters, json, network, secrets, values
-from millrace.operators import changes, compare, hierarchy, joins, network as net, records, search, tables, textdiff
+from millrace.operators import changes, compare, hierarchy, joins, network as net, records, search, stats, tables, textdiff
 from millrace.sources import documents
 from millrace.streaming import streams
 
@@ -320,3 +320,17 @@ def test_place_follows_all_generations(spark):
     candidates = spark.createDataFrame([(25, "mid"), (26, "x"), (26, "y"), (200, None)], "id int, place string")
     got = {r.id: r.place for r in joins.place(df, "id", "own", candidates, parents).collect()}
     assert got == {i: "top" if i < 25 else "mid" for i in range(40)} | {100: None, 101: None, 200: None}
+
+
+def test_environments_and_categories(spark):
+    want = {
+        "app-nonprod": ("Non-prod", "app"), "App_Prod-123456789012": ("Prod", "app"), "x.pre-prod": ("Prod", "x-pre"), "x-preprod": ("Stage", "x"), "dev": ("Dev", "dev"), "devx": ("Other", "devx"), "a-b-12-34": ("Other", "a-b-12"), "12": ("Other", "12"), "": ("Other", ""), None: (None, None),
+    }
+    df = spark.createDataFrame([(k,) for k in want], "n string")
+    assert {r.n: (r.e.name, r.e.base) if r.e else (None, None) for r in df.select("n", stats.environment(F.col("n")).alias("e")).collect()} == want
+    rules, noise = {"First": ["lake", "co-"], "Second": ["data", "-db"]}, "^acme-?"
+    names = {"acme-co-x-dev": "First", "datalake-prod": "First", "acmedata": "Second", "x-db-uat": "Second", "xdb-uat": stats.OTHER, "taco": "First", "acmeco-1": "First", "taco-x": "First"}
+    got = spark.createDataFrame([(k,) for k in names], "n string").select("n", stats.category(F.col("n"), rules, noise).alias("c")).collect()
+    assert {r.n: r.c for r in got} == names
+    listed = stats.accounts_by_category(spark.createDataFrame([("b-dev",), ("a-lake",), ("z-data-prod",), ("y-data-dev",), ("a-data",)], "n string"), "n", rules).collect()
+    assert [(r.category, r.names) for r in listed] == [("First", ["a-lake"]), ("Second", ["z-data-prod", "y-data-dev", "a-data"]), (stats.OTHER, ["b-dev"])]
