@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .cut import written
+
 
 def tree_numbers(df: DataFrame, id_col: str, parent: str, order: list[Column]) -> DataFrame:
     """(id, number): hierarchical numbers 1.2.3; siblings in the given order."""
@@ -46,18 +48,21 @@ def descendants(df: DataFrame, id_col: str, parent: str, roots: DataFrame) -> Da
 
 
 def top_most(df: DataFrame, id_col: str, parent: str) -> DataFrame:
-    """(id, top): the highest ancestor of every node, by pointer doubling until no pointer moves.
+    """(id, top): the highest ancestor of every node, by pointer doubling.
 
-    The rounds grow with the logarithm of the depth. Raises ValueError on a cycle, whose nodes have no top.
+    The rounds grow with the logarithm of the depth, each from a written table. A parent that is no node
+    is a top. Nodes on a cycle and below one have no top: null.
     """
-    up = df.select(F.col(id_col).alias("id"), F.coalesce(parent, id_col).alias("top"))
-    for _ in range(64):  # depths to 2 ** 64
-        above = up.select(F.col("id").alias("_i"), F.col("top").alias("_t"))
+    i, p = F.col(id_col), F.col(parent)
+    up = written(df.select(i.alias("id"), F.coalesce(p, i).alias("top"), p.isNull().alias("done")))
+    waiting = -1
+    while (left := up.where("NOT done").count()) not in (0, waiting):
+        waiting = left
+        above = up.select(F.col("id").alias("_i"), F.col("top").alias("_t"), F.col("done").alias("_d"))
         both = up.join(above, F.col("top") == F.col("_i"), "left")
-        if both.where("_t <> top").isEmpty():
-            return up
-        up = both.select("id", F.coalesce("_t", "top").alias("top"))
-    raise ValueError("the parents form a cycle")
+        # A top that is done stands for itself; the top's own row then says the same.
+        up = written(both.select("id", F.when(F.col("done"), F.col("top")).otherwise(F.coalesce("_t", "top")).alias("top"), (F.col("done") | F.coalesce("_d", F.lit(True))).alias("done")))
+    return up.select("id", F.when(F.col("done"), F.col("top")).alias("top"))
 
 
 def page_layout(pages: DataFrame, titles: DataFrame) -> DataFrame:

@@ -204,6 +204,8 @@ def test_secrets_of_a_line(spark):
 def test_top_of_deep_trees_and_cycles(spark):
     chain = spark.range(300).select(F.col("id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
     assert {r.top for r in hierarchy.top_most(chain, "id", "parent").collect()} == {0}
+    loop = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 4), (5, None), (6, 5), (7, 99)], "id int, parent int")
+    assert {r.id: r.top for r in hierarchy.top_most(loop, "id", "parent").collect()} == {1: None, 2: None, 3: None, 4: None, 5: 5, 6: 5, 7: 99}
 
 
 def test_status_words(spark):
