@@ -153,7 +153,17 @@ def egress_paths(spark, sf):
     return netpaths.egress_paths(n, clusters).withColumn("hops", _text(F.col("hops")))
 
 
-QUERIES = {f.__name__: f for f in (mixed_prefixes, network_links, inbound_paths, transit_paths, egress_paths)}
+def open_places(spark, sf):
+    """What is open to the internet; customers with much money have public addresses, suppliers' clusters public endpoints."""
+    n, _ = network(spark, sf)
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    instances = c.select(F.concat(F.lit("i-"), F.col("c_custkey").cast("string")).alias("instance"), F.when(F.col("c_acctbal") > 9000, F.concat(F.lit("203.0.113."), (F.col("c_custkey") % 250).cast("string"))).alias("public_ip"))
+    cidrs = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("0.0.0.0/0"))).when(F.col("s_suppkey") % 3 == 1, F.array(F.lit("10.0.0.0/8")))
+    clusters = s.select(F.concat(F.lit("c-"), F.col("s_suppkey").cast("string")).alias("cluster"), (F.col("s_acctbal") > 0).alias("public"), cidrs.alias("cidrs"))
+    return netpaths.open_to_internet(n, clusters, instances)
+
+
+QUERIES = {f.__name__: f for f in (open_places, mixed_prefixes, network_links, inbound_paths, transit_paths, egress_paths)}
 
 
 # The SQL side: every hop is a row, asks are answered by scans of the rules, text is put together at the end.
@@ -340,6 +350,13 @@ def _bits(ip: str) -> str:
 _MIXED_HOLDS = f"""CASE WHEN contains(ip, ':') <> contains(cidr, ':') THEN false WHEN contains(ip, ':') THEN left({_bits("ip")}, {_length("cidr")}) = left({_bits("split_part(cidr, '/', 1)")}, {_length("cidr")}) ELSE {_holds("cidr", "ip")} END"""
 
 ORACLE = {
+    "open_places": _with("web AS (SELECT DISTINCT \"group\" FROM balancers JOIN balancer_groups USING (lb) WHERE scheme = 'internet-facing')") + """
+SELECT 'security group open to the internet' || CASE WHEN w."group" IS NOT NULL AND ports IN ('80', '443') THEN ' (internet-facing load balancer)' ELSE '' END AS kind,
+  CASE WHEN w."group" IS NOT NULL AND ports IN ('80', '443') THEN 'info' WHEN ports IN ('all', '22', '3389') THEN 'high' ELSE 'medium' END AS severity, r."group" AS place, protocol || '/' || ports || ' from ' || peer AS detail
+FROM group_rules r LEFT JOIN web w ON w."group" = r."group" WHERE direction = 'in' AND peer = '0.0.0.0/0' AND r."group" IN (SELECT "group" FROM groups)
+UNION ALL SELECT 'network ACL allows everything in', 'low', acl, 'rule ' || number FROM (SELECT * FROM acl_rules WHERE direction = 'in' QUALIFY row_number() OVER (PARTITION BY acl ORDER BY number) = 1) WHERE action = 'allow' AND cidr = '0.0.0.0/0' AND ports = 'all'
+UNION ALL SELECT 'cluster endpoint open to the internet', 'high', 'c-' || s_suppkey, 'public access from 0.0.0.0/0' FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 3 <> 1
+UNION ALL SELECT 'instance with a public IP', 'medium', 'i-' || c_custkey, '203.0.113.' || c_custkey % 250 FROM customer WHERE c_acctbal > 9000""",
     "mixed_prefixes": f"SELECT c_custkey, ip, count(*) AS n, arg_max(cidr, {_length('cidr')}) AS cidr, max({_length('cidr')}) AS prefix FROM ({MIXED_IPS}) i JOIN ({MIXED_ROUTES}) r ON {_MIXED_HOLDS} GROUP BY c_custkey, ip",
     "network_links": _with(_LINKS.strip()) + """
 SELECT 'subnet table' AS kind, subnet AS source, rtb AS target, how FROM subnet_tables WHERE rtb IS NOT NULL
