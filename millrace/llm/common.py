@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written stages: `spark.checkpoint.dir` where it is set.
 
-    Only where it is unset (local runs, tests) a temporary folder is taken.
+    Only where it is unset in a local session (local runs, tests) a temporary folder is taken.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -43,6 +46,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def while_needed(df: DataFrame) -> Iterator[DataFrame]:
+    """A written table that is removed at the end of the block; what is made of it must be written by then."""
+    table_ = written(df)
+    try:
+        yield table_
+    finally:
+        if files := table_.inputFiles():
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 durable = written  # every step that cuts its lineage does it the same way
 
 
