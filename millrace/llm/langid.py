@@ -11,6 +11,7 @@ made on the executors, and prediction is one pass over whole texts without a shu
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -99,7 +100,7 @@ class LanguageModel:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [features(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+        made = [zlib.compress(features(t).astype(np.float16).tobytes(), 1) for t in batch.column(1).to_pylist()]  # mostly zeros
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["lang", "x"])
 
 
@@ -136,7 +137,7 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     y = code[[place[r["lang"]] for r in sample]]
     x = np.empty((len(sample), len(ORDERS) << BITS), dtype=np.float32)
     for i in range(len(sample)):
-        x[i] = np.frombuffer(sample[i]["x"], dtype=np.float16)
+        x[i] = np.frombuffer(zlib.decompress(sample[i]["x"]), dtype=np.float16)
         sample[i] = None
     mean = x.mean(0)
     x -= mean
