@@ -262,6 +262,27 @@ def test_lines_that_repeat_themselves(spark):
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
+def test_lines_form_their_buckets_in_parts(spark, monkeypatch):
+    """No job holds the buckets of all groups of least values, nor shuffles the shingles of stored lines."""
+    sizes, plans = [], []
+
+    def shared(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        sizes.append(rows.count())
+        return whole(rows)
+
+    whole = lines._shared
+    monkeypatch.setattr(lines, "_shared", shared)
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(str(x) for x in rng.integers(0, 10**6, 40))) for i in range(50)]
+    df = spark.createDataFrame(rows + [(100 + i, t + "!") for i, t in rows] + [(200 + i, t[:60]) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(df, k=5).collect()}
+    assert got == {i + j: int(j == 100) for i in range(50) for j in (0, 100, 200)}
+    bands = len(lines.GROUP_BANDS)
+    assert sizes == [50 * len(lines.PLANE_BANDS) + 100 * bands * lines.EARLY_GROUPS, 100 * bands * (lines.GROUPS - lines.EARLY_GROUPS)]
+    assert not any("Exchange hashpartitioning(h1" in line and " r#" in line for line in plans[0].splitlines())
+
+
 def test_near_duplicate_stage_with_clashing_columns(spark):
     """Columns of any name and type, null ids, repeated rows and an empty table."""
     text = " ".join(f"word{i}" for i in range(80))
