@@ -4,8 +4,8 @@ Each language has a codeword; one regularised least-squares classifier per bit p
 hashed byte n-grams of the lower-cased text. Decoding adds up each bit's hinge loss against every
 codeword, weighted by how well the bit was predicted on left-out training rows, and takes the
 codeword of least loss; two codewords of nearly equal loss flag an ambiguous text. The classifiers
-are fitted on the driver from a bounded sample of labelled rows (`sample_rows`); the features are
-made on the executors, and prediction is one pass over whole texts without a shuffle.
+are fitted in one task from a bounded sample of labelled rows (`sample_rows`), so that the driver
+gets the finished model alone; prediction is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -104,6 +104,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["lang", "x"])
 
 
+def _fit(batches: Iterator[pa.RecordBatch], languages: list[str], code: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row (weights, bias, trust), as bytes, of the classifiers learnt from all rows (lang, x)."""
+    sample = sorted(pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    place = {k: i for i, k in enumerate(languages)}
+    y = code[[place[lang] for lang, _ in sample]]
+    x = np.empty((len(sample), len(ORDERS) << BITS), dtype=np.float32)
+    for row, (_, packed) in zip(x, sample, strict=True):
+        row[:] = np.frombuffer(zlib.decompress(packed), dtype=np.float16)
+    mean = x.mean(0)
+    x -= mean
+    inverse = np.linalg.inv(x @ x.T + RIDGE * max(1.0, len(x) / 100) * np.eye(len(x), dtype=np.float32))
+    bias = y.mean(0)
+    dual = inverse @ (y - bias)
+    left_out = dual / np.diag(inverse)[:, None]  # residual of each row when it is left out
+    trust = 1 / (0.05 + (left_out**2).mean(0))
+    weights = (x.T @ dual).astype(np.float32)
+    made = (weights, bias - mean @ weights, trust / trust.max() if trust.size else trust)
+    yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float64).tobytes()], pa.binary()) for v in made], names=["weights", "bias", "trust"])
+
+
 def fold(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
@@ -112,7 +132,7 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """The model learnt from rows with a text and a language; None if there is no such row.
 
     The fit reads an equal number of different texts for each language, about `sample_rows` in all and
-    one at least, those of smallest hash; copies of a text count once. Only that sample and one
+    one at least, those of smallest hash; copies of a text count once. Only the model and one
     count for each language reach the driver.
     """
     known = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -130,24 +150,12 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     low = texts.join(F.broadcast(bounds), "lang").where("h <= bound").drop("bound")  # one row a language
     chosen = low.withColumn("nth", nth).where(F.col("nth") <= quota).select("lang", "h", "h2")
     sample = known.join(F.broadcast(chosen), ["lang", "h", "h2"], "left_semi").dropDuplicates(["lang", "h", "h2"])  # about sample_rows keys
-    sample = sample.select("lang", "text").mapInArrow(_features, "lang string, x binary").collect()
-    sample.sort(key=lambda r: (r["lang"], r["x"]))
-    place = {k: i for i, k in enumerate(languages)}
     code = codewords(len(languages))
-    y = code[[place[r["lang"]] for r in sample]]
-    x = np.empty((len(sample), len(ORDERS) << BITS), dtype=np.float32)
-    for i in range(len(sample)):
-        x[i] = np.frombuffer(zlib.decompress(sample[i]["x"]), dtype=np.float16)
-        sample[i] = None
-    mean = x.mean(0)
-    x -= mean
-    inverse = np.linalg.inv(x @ x.T + RIDGE * max(1.0, len(x) / 100) * np.eye(len(x), dtype=np.float32))
-    bias = y.mean(0) if len(y) else np.zeros(code.shape[1])
-    dual = inverse @ (y - bias)
-    left_out = dual / np.diag(inverse)[:, None]  # residual of each row when it is left out
-    trust = 1 / (0.05 + (left_out**2).mean(0))
-    weights = (x.T @ dual).astype(np.float32)
-    return LanguageModel(languages, code, weights, bias - mean @ weights, trust / trust.max() if trust.size else trust)
+    # The sample's bound does not depend on the input, so one task can hold it.
+    sample = sample.select("lang", "text").mapInArrow(_features, "lang string, x binary").repartition(1)
+    made = sample.mapInArrow(partial(_fit, languages=languages, code=code), "weights binary, bias binary, trust binary").first()
+    weights, bias, trust = (np.frombuffer(v, np.float64) for v in made)
+    return LanguageModel(languages, code, weights.reshape(len(ORDERS) << BITS, code.shape[1]).astype(np.float32), bias, trust)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel | None) -> Iterator[pa.RecordBatch]:

@@ -569,6 +569,17 @@ def test_codewords(n):
     assert code.shape[0] == n and apart >= (1 if n < 3 else 2 if n < 6 else 5)
 
 
+def test_languages_are_fitted_away_from_the_driver(spark, monkeypatch):
+    """The sample and the matrices of the fit stay on the executors."""
+    monkeypatch.setattr(langid.np.linalg, "inv", lambda x: pytest.fail("fitted on the driver"))
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "the house and the tree", "en"), (4, "das Haus und der Baum", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs)
+    assert {r.doc_id: r.lang_pred for r in langid.predict_language(docs, model).collect()} == {i: lang for i, _, lang in rows}
+    alone = langid.fit_languages(docs.where("lang = 'en'"))
+    assert {r.lang_pred for r in langid.predict_language(docs, alone).collect()} == {"en"}
+
+
 def test_languages_odd(odd, empty):
     model = langid.fit_languages(odd)
     got = {r.doc_id: r for r in langid.predict_language(odd, model).collect()}
