@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, licenses, lines, media, mixing, packing, simhash, substrings, toxicity, vptree
+from millrace.llm import components, langid, licenses, lines, media, mixing, packing, simhash, substrings, toxicity, vptree
 from millrace.llm.common import written
 from millrace.llm.components import connected_components
 
@@ -48,6 +48,25 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Only the edges are written where they already are stars, or where there are none."""
+    made = []
+    monkeypatch.setattr(components, "durable", lambda df: made.append(1) or written(df))
+    edges = spark.createDataFrame([(1, n) for n in range(2, 50)], "a long, b long")
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(n, 1) for n in range(1, 50)}
+    assert connected_components(edges.limit(0)).count() == 0 and len(made) == 2
+
+
+def test_components_go_on_with_more_links(spark):
+    rng = np.random.default_rng(11)
+    links = [tuple(map(int, x)) for x in rng.integers(0, 400, (330, 2))]
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    want = {tuple(r) for r in connected_components(df(links)).collect()}
+    for at in (0, 300, len(links)):
+        rows = [tuple(r) for r in components.merged_components(connected_components(df(links[:at])), df(links[at:])).collect()]
+        assert set(rows) == want and len(rows) == len(want)
+
+
 # 1 SimHash
 
 
@@ -283,6 +302,26 @@ def test_lines_form_their_buckets_in_parts(spark, monkeypatch):
     assert not any("Exchange hashpartitioning(h1" in line and " r#" in line for line in plans[0].splitlines())
 
 
+@pytest.mark.parametrize("crowd, rounds", [(0, 2), (10**6, 1)])
+def test_lines_of_small_and_large_buckets(spark, monkeypatch, crowd, rounds):
+    """Buckets of all sizes lose no pair; where none is large, nothing is done for large ones."""
+    calls = []
+    mixed = lines._mixed
+    monkeypatch.setattr(lines, "_mixed", lambda *a: calls.append(1) or mixed(*a))
+    monkeypatch.setattr(lines, "CROWD", crowd)
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(12):  # families of texts, of which some are similar and many share a bucket all the same
+        base = [str(x) for x in rng.integers(0, 10**5, 40)]
+        for j in range(12):
+            share = (0.02, 0.05, 0.1)[j % 3]
+            rows.append((len(rows), " ".join(str(x) if rng.random() < share else w for w, x in zip(base, rng.integers(0, 10**5, 40), strict=True))))
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), k=5).collect()}
+    want = brute_lines(rows, k=5)
+    assert sum(got[i] != (not v) for i, v in want.items()) <= 1 and sum(got.values()) >= 60  # banding may miss a pair near the threshold
+    assert len(calls) == rounds
+
+
 def test_near_duplicate_stage_with_clashing_columns(spark):
     """Columns of any name and type, null ids, repeated rows and an empty table."""
     text = " ".join(f"word{i}" for i in range(80))
