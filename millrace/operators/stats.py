@@ -191,11 +191,11 @@ def category(name: Column, rules: dict[str, list[str]] = CATEGORIES, noise: str
     return F.when(name.isNotNull(), out)
 
 
-def accounts_by_category(df: DataFrame, name: str, rules: dict[str, list[str]] = CATEGORIES, noise: str | None = None) -> DataFrame:
-    """(category, names): categories in order of their rules, the other last; names by environment, then name."""
+def accounts_by_category(df: DataFrame, name: str, rules: dict[str, list[str]] = CATEGORIES, noise: str | None = None, order: str | None = None) -> DataFrame:
+    """(category, names): categories in order of their rules, the other last; names by environment, then the column `order` (None: the name alone), then name."""
     place = F.array_position(F.array(*[F.lit(e) for e in ENVIRONMENTS]), environment(F.col(name))["name"])
     kind = category(F.col(name), rules, noise)
-    own = df.select(kind.alias("category"), F.struct(F.when(place == 0, len(ENVIRONMENTS) + 1).otherwise(place).alias("r"), F.col(name).alias("name")).alias("x"))
+    own = df.select(kind.alias("category"), F.struct(F.when(place == 0, len(ENVIRONMENTS) + 1).otherwise(place).alias("r"), *([F.col(order).alias("o")] if order else []), F.col(name).alias("name")).alias("x"))
     rank = F.array_position(F.array(*[F.lit(k) for k in rules]), F.col("category"))
     out = own.groupBy("category").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["name"]).alias("names"))
     return out.orderBy(F.when(rank == 0, len(rules) + 1).otherwise(rank))  # at most a row a rule

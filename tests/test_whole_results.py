@@ -1,0 +1,9 @@
+"""Results that once were cut or in another order on larger tables, on small cases."""
+
+from millrace.operators import stats
+
+
+def test_names_by_a_column_before_their_text(spark):
+    df = spark.createDataFrame([(10000, "x-dev-10000"), (9998, "x-dev-9998"), (20001, "x-prod-20001")], "k int, n string")
+    assert [r.names for r in stats.accounts_by_category(df, "n", order="k").collect()] == [["x-prod-20001", "x-dev-9998", "x-dev-10000"]]
+    assert [r.names for r in stats.accounts_by_category(df, "n").collect()] == [["x-prod-20001", "x-dev-10000", "x-dev-9998"]]
