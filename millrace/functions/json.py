@@ -15,6 +15,19 @@ def parse(text: Column | str) -> Column:
     return F.try_parse_json(text)
 
 
+def parse_whole(text: Column | str) -> Column:
+    """The value of a text that holds one JSON value and nothing else; `parse` stops after the first.
+
+    In a list, a text that goes on has a second element or closes the list itself; the latter does not
+    fit into an object.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & member.isNotNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def json_type(v: Column) -> Column:
     """string, number, boolean, null, array or object; NULL where the value is missing."""
     kind = F.schema_of_variant(v)

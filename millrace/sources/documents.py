@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.json import json_type, parse
+from ..functions.json import json_type, parse, parse_whole
 
 
 def walk(df: DataFrame, id_cols: list[str], value_col: str) -> DataFrame:
@@ -80,22 +80,25 @@ def numbered_lines(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return rows.select(*keep, (F.col("p") + 1).cast("long").alias("line_no"), "line")
 
 
-def split_json_lines(df: DataFrame, text_col: str, keep: list[str], shown: int = 500, width: int = 120) -> tuple[DataFrame, DataFrame]:
+def split_json_lines(df: DataFrame, text_col: str, keep: list[str], shown: int | None = None, width: int = 120) -> tuple[DataFrame, DataFrame]:
     """Good lines (keep..., line_no, value) and bad ones (keep..., line_no, excerpt) of JSON Lines texts (A2).
 
-    Blank lines are skipped; of the bad lines of a text the first `shown` are listed.
+    Blank lines are skipped; a line that goes on after its value is bad; of the bad lines of a text the
+    first `shown` are listed (None: all).
     """
-    lines = numbered_lines(df, text_col, keep).where(F.trim("line") != "").withColumn("value", parse("line"))
+    lines = numbered_lines(df, text_col, keep).where(F.trim("line") != "").withColumn("value", parse_whole("line"))
     good = lines.where("value IS NOT NULL").select(*keep, "line_no", "value")
-    nth = F.row_number().over(Window.partitionBy(*keep).orderBy("line_no"))
-    bad = lines.where("value IS NULL").withColumn("nth", nth).where(F.col("nth") <= shown)
+    bad = lines.where("value IS NULL")
+    if shown is not None:
+        nth = F.row_number().over(Window.partitionBy(*keep).orderBy("line_no"))
+        bad = bad.withColumn("nth", nth).where(F.col("nth") <= shown)
     return good, bad.select(*keep, "line_no", F.substring("line", 1, width).alias("excerpt"))
 
 
 def detect_format(name: Column, text: Column) -> Column:
     """jsonl by the name, or where the first non-empty line is a whole JSON value and another line follows; else json (A3)."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    whole = F.try_parse_json(F.get(lines, 0)).isNotNull() & (F.size(lines) > 1)
+    whole = parse_whole(F.get(lines, 0)).isNotNull() & (F.size(lines) > 1)
     return F.when(F.lower(name).rlike(r"\.(jsonl|ndjson)(\.gz)?$") | F.coalesce(whole, F.lit(False)), "jsonl").otherwise("json")
 
 

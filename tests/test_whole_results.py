@@ -1,9 +1,28 @@
 """Results that once were cut or in another order on larger tables, on small cases."""
 
+from pyspark.sql import functions as F
+
+from millrace.functions import json
 from millrace.operators import stats
+from millrace.sources import documents
 
 
 def test_names_by_a_column_before_their_text(spark):
     df = spark.createDataFrame([(10000, "x-dev-10000"), (9998, "x-dev-9998"), (20001, "x-prod-20001")], "k int, n string")
     assert [r.names for r in stats.accounts_by_category(df, "n", order="k").collect()] == [["x-prod-20001", "x-dev-9998", "x-dev-10000"]]
     assert [r.names for r in stats.accounts_by_category(df, "n").collect()] == [["x-prod-20001", "x-dev-10000", "x-dev-9998"]]
+
+
+def test_a_line_that_goes_on_after_its_value_is_bad(spark):
+    bad = ["470 then words", '{"a": 1} x', "1 2", "1, 2", "1], [2", "1] x", '1}, "b": {', "[1] [2]", '{"a": 1}, "b": 2', "", "1, null"]
+    good = {"1": "1", ' {"a": [1, 2]} ': '{"a":[1,2]}', "[1, 2]": "[1,2]", "[]": "[]", "null": "null", '"a]"': '"a]"', '"}"': '"}"'}
+    df = spark.createDataFrame([(t,) for t in [*bad, *good]], "t string")
+    got = {r.t: r.v for r in df.select("t", F.to_json(json.parse_whole("t")).alias("v")).collect()}
+    assert got == {t: None for t in bad} | good
+
+
+def test_all_bad_lines_are_listed(spark):
+    df = spark.createDataFrame([(1, "\n".join(["{}", *["1 x"] * 700]))], "id int, t string")
+    good, bad = documents.split_json_lines(df, "t", ["id"])
+    assert (good.count(), bad.count()) == (1, 700)
+    assert documents.split_json_lines(df, "t", ["id"], shown=5)[1].count() == 5
