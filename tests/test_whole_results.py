@@ -1,8 +1,12 @@
 """Results that once were cut or in another order on larger tables, on small cases."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import json
+from millrace.functions import json, network
+from millrace.operators import network as net
 from millrace.operators import stats
 from millrace.sources import documents
 
@@ -26,3 +30,47 @@ def test_all_bad_lines_are_listed(spark):
     good, bad = documents.split_json_lines(df, "t", ["id"])
     assert (good.count(), bad.count()) == (1, 700)
     assert documents.split_json_lines(df, "t", ["id"], shown=5)[1].count() == 5
+
+
+@pytest.fixture
+def most_joined(spark):
+    """The rows that the largest join of a query gives."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+    def most(df):
+        plan = df.select("*")._jdf.queryExecution().executedPlan()  # one of its own, as metrics add up
+        plan.executeCollect()
+        found, at = 0, [plan]
+        while at:
+            p = at.pop()
+            if "Join" in p.nodeName() and p.metrics().contains("numOutputRows"):
+                found = max(found, p.metrics().apply("numOutputRows").value())
+            at += [p.children().apply(i) for i in range(p.children().size())]
+        return found
+
+    yield most
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+PEERS = ["0.0.0.0/0", "10.0.0.0/8", "10.1.2.3/16", "10.1.2.3", "fd00::/8", "::/0", "x", None, "a/sg-1", "sg-2", "pl-1"]
+RULE = "group int, direction string, place int, protocol string, ports string, peer_type string, peer string"
+FLOW = "flow int, groups array<int>, direction string, peer_ip string, port int, protocol string, callers array<string>"
+
+
+def test_group_verdicts_equal_all_pairs(spark):
+    r = random.Random(5)
+    kinds = ["cidr", "cidr", "cidr6", "group", "security_group", "prefix list", None]
+    rules = spark.createDataFrame([(r.randrange(6), r.choice(["in", "out"]), r.choice([0, 1, 2, None]), r.choice(["tcp", "6", "all", "udp", None]), r.choice(["all", "80", "1-90", "443", "x", None]), r.choice(kinds), r.choice(PEERS)) for _ in range(200)], RULE)
+    flows = spark.createDataFrame([(n, r.choice([None, [], [r.randrange(8)], [r.randrange(8), None, r.randrange(8)]]), r.choice(["in", "out"]), r.choice(["10.1.9.9", "10.1.2.3", "9.9.9.9", "fd00::1", "2001:db8::1", "?", None]), r.choice([80, 443, 8080, None]), r.choice(["tcp", "TCP", "udp", None]), r.choice([None, [], ["sg-1"], ["sg-2", None, "sg-2"]])) for n in range(400)], FLOW)
+    # Every flow against every rule of its groups.
+    f = flows.select("flow", "direction", "peer_ip", "port", F.col("protocol").alias("p"), "callers", F.posexplode_outer(F.array_compact("groups")).alias("n", "group"))
+    met = f.join(rules.select("group").distinct().withColumn("known", F.lit(True)), "group", "left").join(rules, ["group", "direction"], "left")
+    covers = network.ports_cover(F.col("ports"), F.col("port")) & network.protocol_ok(F.col("protocol"), F.col("p"))
+    holds = F.col("peer_type").isin("cidr", "cidr6") & network.cidr_contains(F.col("peer"), F.col("peer_ip"))
+    named = F.col("peer_type").isin("group", "security_group") & F.array_contains("callers", F.element_at(F.split("peer", "/"), -1))
+    rank = F.when(covers & (F.coalesce(holds, F.lit(False)) | F.coalesce(named, F.lit(False))), 0).when(covers & (F.col("peer_type") == "prefix list"), 1)
+    said = F.concat_ws(" ", "group", "protocol", "ports", "peer")
+    best = met.groupBy("flow").agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "n", "place", said.alias("said")))).alias("b"), F.count("group").alias("g"), F.count("known").alias("k")).collect()
+    want = {x.flow: (("PASS", "UNKNOWN")[x.b.rank], x.b.said) if x.b else ("UNKNOWN", "no group") if not x.g else ("UNKNOWN", "unknown groups") if not x.k else ("FAIL", "no rule") for x in best}
+    got = {x.flow: (x.verdict, x.evidence) for x in net.group_verdicts(flows, rules).collect()}
+    assert got == want and len(set(want.values())) > 10
