@@ -74,3 +74,13 @@ def test_group_verdicts_equal_all_pairs(spark):
     want = {x.flow: (("PASS", "UNKNOWN")[x.b.rank], x.b.said) if x.b else ("UNKNOWN", "no group") if not x.g else ("UNKNOWN", "unknown groups") if not x.k else ("FAIL", "no rule") for x in best}
     got = {x.flow: (x.verdict, x.evidence) for x in net.group_verdicts(flows, rules).collect()}
     assert got == want and len(set(want.values())) > 10
+
+
+def test_flows_meet_only_rules_that_hold_them(spark, most_joined):
+    flows = spark.range(900).selectExpr("int(id) AS flow", "0 AS `group`", "0 AS acl", "'10.1.2.3' AS peer_ip", "int(id % 3) AS port", "'tcp' AS protocol")
+    rules = spark.range(800).selectExpr("0 AS `group`", "int(id % 3) || '-9' AS ports", "'tcp' AS protocol", "'cidr' AS peer_type", "'10.' || id % 5 || '.0.0/16' AS peer")
+    found = net.sg_check(flows, rules)
+    assert {r.verdict for r in found.collect()} == {"PASS"} and most_joined(found) <= 2000
+    acl = spark.range(800).selectExpr("0 AS acl", "int(id) AS number", "'all' AS protocol", "int(id % 3) || '-9' AS ports", "'10.' || id % 5 || '.0.0/16' AS cidr", "IF(id < 10, 'deny', 'allow') AS action")
+    found = net.acl_first_match(flows, acl)
+    assert {(r.flow % 3, r.rule, r.action) for r in found.collect()} == {(0, 6, "deny"), (1, 1, "deny"), (2, 1, "deny")} and most_joined(found) <= 2000
