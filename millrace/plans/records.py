@@ -171,7 +171,7 @@ def endpoint_reach(spark, sf):
     endpoints = p.select(k.alias("endpoint"), (k % 25).cast("int").alias("vpc"), F.lit("com.amazonaws.eu-west-1.s3").alias("service"), F.when(k % 2 == 0, "Gateway").otherwise("Interface").alias("type"), F.array(k % 5).alias("route_tables"), F.array(k % 7).alias("groups"))
     routes = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("subnet"), F.col("r_regionkey").cast("long").alias("table"))
     rules = table(spark, sf, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("group"), F.when(F.col("n_nationkey") % 2 == 0, "443").otherwise("80").alias("ports"), F.lit("tcp").alias("protocol"), F.lit("cidr").alias("peer_type"), F.concat(F.lit("10."), "n_nationkey", F.lit(".0.0/16")).alias("peer"))
-    return network.endpoint_checks(clusters, endpoints, routes, rules).groupBy("service", "type", "verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("endpoint").alias("total"))
+    return network.endpoint_counts(clusters, endpoints, routes, rules)
 
 
 def type_names(spark, sf):

@@ -84,3 +84,14 @@ def test_flows_meet_only_rules_that_hold_them(spark, most_joined):
     acl = spark.range(800).selectExpr("0 AS acl", "int(id) AS number", "'all' AS protocol", "int(id % 3) || '-9' AS ports", "'10.' || id % 5 || '.0.0/16' AS cidr", "IF(id < 10, 'deny', 'allow') AS action")
     found = net.acl_first_match(flows, acl)
     assert {(r.flow % 3, r.rule, r.action) for r in found.collect()} == {(0, 6, "deny"), (1, 1, "deny"), (2, 1, "deny")} and most_joined(found) <= 2000
+
+
+def test_endpoint_counts_form_no_pairs(spark, most_joined):
+    clusters = spark.range(600).selectExpr("id AS cluster", "int(id % 2) AS vpc", "array(id % 3) AS subnets", "'10.' || id % 4 || '.0.9' AS ip", "array('sg-' || id % 2) AS callers")
+    endpoints = spark.range(500).selectExpr("id AS endpoint", "int(id % 3) AS vpc", "'com.amazonaws.eu-west-1.s3' AS service", "IF(id % 2 = 0, 'Gateway', 'Interface') AS type", "array(id % 2) AS route_tables", "IF(id % 7 = 0, array(), array(id % 5)) AS `groups`")
+    routes = spark.createDataFrame([(0, 0), (1, 1)], "subnet long, table long")
+    rules = spark.createDataFrame([(0, "443", "tcp", "cidr", "10.1.0.0/16"), (1, "all", "-1", "group", "sg-1"), (2, "80", "tcp", "cidr", "0.0.0.0/0"), (3, "443", "tcp", "prefix list", "pl-1")], "group long, ports string, protocol string, peer_type string, peer string")
+    each = net.endpoint_checks(clusters, endpoints, routes, rules).groupBy("service", "type", "verdict").agg(F.count(F.lit(1)).alias("n"), F.sum("endpoint").alias("total"))
+    counted = net.endpoint_counts(clusters, endpoints, routes, rules)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, each.collect())) and sum(r.n for r in counted.collect()) == 300 * 167 * 2
+    assert most_joined(counted) < 5000
