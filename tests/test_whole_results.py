@@ -95,3 +95,15 @@ def test_endpoint_counts_form_no_pairs(spark, most_joined):
     counted = net.endpoint_counts(clusters, endpoints, routes, rules)
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, each.collect())) and sum(r.n for r in counted.collect()) == 300 * 167 * 2
     assert most_joined(counted) < 5000
+
+
+def test_record_rows_carry_no_documents(spark):
+    record = lambda n: '{"Name": "r%d", "Type": "A", "TTL": 60, "ResourceRecords": [{"Value": "v"}]}' % n
+    texts = ['{"Name": "z", "_details": {"Records": [%s, 5]}}' % ",".join(map(record, range(40))), '{"Name": "y", "_details": {"Records": {"a": 1}}}', "{}", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", json.parse("t").alias("j"))
+    found = net.dns_records(df, "k", "j")
+    assert {(r.id, r.zone, r.private, r.name, r.ttl, *r["values"]) for r in found.collect()} == {(0, "z", False, f"r{n}", 60, "v") for n in range(40)} | {(0, "z", False, None, None)}
+    at = [found._jdf.queryExecution().sparkPlan()]
+    while (p := at.pop()).nodeName() != "Generate":
+        at += [p.children().apply(i) for i in range(p.children().size())]
+    assert [p.output().apply(i).name() for i in range(p.output().size()) if p.output().apply(i).dataType().simpleString() == "variant"] == ["value"]
