@@ -29,7 +29,15 @@ def secret_kind(key: Column, value: Column, rules: dict[str, tuple[str, str]] |
 
     rules: custom kinds as (key pattern, value pattern), tried first (O3).
     """
-    k = F.lower(F.regexp_replace(F.coalesce(key, F.lit("")), r"[\s-]", "_"))
+    return kind_by(plain_key(key), value, rules)
+
+
+def plain_key(key: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(key, F.lit("")), r"[\s-]", "_"))
+
+
+def kind_by(k: Column, value: Column, rules: dict[str, tuple[str, str]] | None = None) -> Column:
+    """`secret_kind` by a `plain_key`."""
     plain = value.isNotNull() & (F.trim(value) != "") & ~F.lower(value).rlike(MASKED)
     out = F.when(~plain, None)
     for kind, (key_pattern, value_pattern) in (rules or {}).items():

@@ -8,15 +8,21 @@ strings: `.key` for a member, `[n]` for an element, from the end if n is negativ
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json import json_type
-from ..functions.secrets import secret_kind
+from ..functions.secrets import kind_by, plain_key
 from .cut import written
 
+#: A function of steps, key, the nearest key from here to the root and value that gives the value's new text.
+Change = Callable[[Column, Column, Column, Column], Column]
+# Fixed value: levels of a document that are rewritten inside its row; deeper ones are opened into rows.
+LEVELS = 8
+
 EDIT = "struct<steps:array<string>,op:string,value:variant>"
 
 
@@ -128,12 +134,70 @@ def _with_edits(df: DataFrame, ids: list[str], value_col: str, edits) -> DataFra
     return apply_edits(named.join(own, "_id", "left"), ids, value_col, F.col("_edits"))
 
 
-def update_where(df: DataFrame, ids: list[str], value_col: str, where: Column, new: Column | None) -> DataFrame:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rewritten(v: Column, steps: Column, key: Column, near: Column, change: Change, leaves: bool, left: int) -> Column:
+    """JSON text of a value with `change` done at every value in it, inside the row; '' if it goes.
+
+    change, over steps, key, near and v: NULL for no change, '' to delete, else the new text; leaves: it
+    concerns scalars alone. NULL where lists and objects go on below `left` levels, or one is itself
+    given another value.
+    """
+    text = F.lit(None).cast("string")
+    child = lambda place, key, v: F.struct(place.alias("place"), key.alias("key"), v.alias("v"))
+    entries = lambda m: F.struct(F.lit(True).alias("named"), F.transform(F.map_entries(m), lambda e, i: child(i, e["key"], e["value"])).alias("c"))
+    elements = lambda a: F.struct(F.lit(False).alias("named"), F.transform(a, lambda x, i: child(i, text, x)).alias("c"))
+    listed = _let(F.try_variant_get(v, "$", "array<variant>"), lambda a: F.when(a.isNotNull(), elements(a)))
+    opened = _let(F.try_variant_get(v, "$", "map<string,variant>"), lambda m: F.when(m.isNotNull(), entries(m)).otherwise(listed))
+
+    def joined(named: Column, parts: Column) -> Column:
+        kept = F.filter(parts, lambda x: x["text"] != "")
+        plain = lambda x: F.when(x["key"].rlike(r"^[\w-]*$"), F.concat(F.lit('"'), x["key"], F.lit('"'))).otherwise(_json_string(x["key"]))
+        members = F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda x: F.concat(plain(x), F.lit(":"), x["text"])), ","), F.lit("}"))
+        return F.when(F.exists(parts, lambda x: x["text"].isNull()), None).when(named, members).otherwise(F.concat(F.lit("["), F.array_join(F.transform(kept, lambda x: x["text"]), ","), F.lit("]")))
+
+    def container(o: Column) -> Column:
+        if left:
+            below = lambda c: _rewritten(c["v"], F.concat(steps, F.array(F.coalesce(F.concat(F.lit("."), c["key"]), F.concat(F.lit("["), c["place"].cast("string"), F.lit("]"))))), c["key"], F.coalesce(c["key"], near), change, leaves, left - 1)
+            out = _let(F.transform(o["c"], lambda c: F.struct(c["key"].alias("key"), below(c).alias("text"))), lambda parts: joined(o["named"], parts))
+        else:
+            out = F.when(F.size(o["c"]) == 0, F.when(o["named"], "{}").otherwise("[]"))
+        return out if leaves else _let(change(steps, key, near, v), lambda new: F.when(new.isNull(), out).when(new == "", ""))
+
+    scalar = F.coalesce(change(steps, key, near, v), F.to_json(v), F.lit("null"))
+    return _let(opened, lambda o: F.when(o.isNull(), scalar).otherwise(container(o))).cast("string")
+
+
+def _everywhere(df: DataFrame, ids: list[str], value_col: str, change: Change, leaves: bool, other: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every row's value with `change` done inside the row; rows that this leaves open go through `other`."""
+    spark, limit = df.sparkSession, "spark.sql.analyzer.maxIterations"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, "2000")  # functions within functions are resolved one by one
+    try:
+        text = _rewritten(F.col("_v"), F.array().cast("array<string>"), *[F.lit(None).cast("string")] * 2, change, leaves, LEVELS)
+        rows = df.select(*ids, F.col(value_col).alias("_v")).withColumn("_text", text)
+    finally:
+        spark.conf.set(limit, usual)
+    done = written(rows.withColumn("_v", F.when(F.col("_text").isNull(), F.col("_v"))))
+    out = done.where("_text IS NOT NULL").select(*ids, F.try_parse_json(F.when(F.col("_text") == "", "null").otherwise(F.col("_text"))).alias(value_col))
+    rest = done.where("_text IS NULL").select(*ids, F.col("_v").alias(value_col))
+    return out if rest.isEmpty() else out.union(other(rest))
+
+
+def update_where(df: DataFrame, ids: list[str], value_col: str, where: Column | Callable, new: Column | Callable | None) -> DataFrame:
     """Update assignment at every value that `where` (over steps, key and v of the walk) holds for (§2.16).
 
     new: the new value, a VARIANT or scalar made of the same columns; None deletes the values. The ids
-    must name the rows, without nulls.
+    must name the rows, without nulls. where and new are columns, or functions of (steps, key, v), which
+    are done inside the rows, without a row for every value.
     """
+    if callable(where):
+        to = (lambda *x: F.lit("")) if new is None else lambda *x: F.coalesce(F.to_json(new(*x).cast("variant")), F.lit("null"))
+        named = [F.col(c) for c in ("steps", "key", "v")]
+        return _everywhere(df, ids, value_col, lambda steps, key, near, v: F.when(where(steps, key, v), to(steps, key, v)), False, lambda rest: update_where(rest, ids, value_col, where(*named), None if new is None else new(*named)))
     of = edit(F.col("steps"), "delete") if new is None else edit(F.col("steps"), "set", new)
     return _with_edits(df, ids, value_col, lambda w: w.where(where).select("_id", of.alias("edit")))
 
@@ -143,8 +207,15 @@ def redact(df: DataFrame, ids: list[str], value_col: str, rules: dict[str, tuple
 
     An element of a list goes by the key of the list. The ids must name the rows, without nulls.
     """
-    near = F.try_element_at(F.filter("steps", lambda s: s.startswith(".")), F.lit(-1))
-    text = F.when(json_type(F.col("v")) == "string", F.try_variant_get("v", "$", "string"))
-    kind = secret_kind(F.substring(near, F.lit(2), F.char_length(near)), text, rules)
-    said = F.try_parse_json(_json_string(F.concat(F.lit("[REDACTED "), kind, F.lit("]"))))
-    return _with_edits(df, ids, value_col, lambda w: w.where(kind.isNotNull()).select("_id", edit(F.col("steps"), "set", said).alias("edit")))
+
+    def change(steps: Column, key: Column, near: Column, v: Column) -> Column:
+        text = F.when(F.schema_of_variant(v) == "STRING", F.struct(plain_key(near).alias("key"), F.try_variant_get(v, "$", "string").alias("text")))
+        kind = _let(text, lambda x: F.when(x.isNotNull(), kind_by(x["key"], x["text"], rules)))
+        return _let(kind, lambda k: F.when(k.isNotNull(), _json_string(F.concat(F.lit("[REDACTED "), k, F.lit("]")))))
+
+    def other(rest: DataFrame) -> DataFrame:
+        near = F.try_element_at(F.filter("steps", lambda s: s.startswith(".")), F.lit(-1))
+        said = change(F.col("steps"), F.col("key"), F.substring(near, F.lit(2), F.char_length(near)), F.col("v"))
+        return _with_edits(rest, ids, value_col, lambda w: w.withColumn("_said", said).where("_said IS NOT NULL").select("_id", edit(F.col("steps"), "set", F.try_parse_json("_said")).alias("edit")))
+
+    return _everywhere(df, ids, value_col, change, True, other)

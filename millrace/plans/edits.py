@@ -39,8 +39,8 @@ def deep_edits(spark, sf):
 
 def deep_update(spark, sf):
     """Every quantity over 40 becomes ten times itself, wherever it is."""
-    q = F.try_variant_get("v", "$", "int")
-    return _digest(rebuild.update_where(_documents(spark, sf), ["c_custkey"], "j", (F.col("key") == "q") & (q > 40), q * 10))
+    q = lambda v: F.try_variant_get(v, "$", "int")
+    return _digest(rebuild.update_where(_documents(spark, sf), ["c_custkey"], "j", lambda steps, key, v: (key == "q") & (q(v) > 40), lambda steps, key, v: q(v) * 10))
 
 
 def deep_redact(spark, sf):
