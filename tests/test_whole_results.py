@@ -1,13 +1,14 @@
 """Results that once were cut or in another order on larger tables, on small cases."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import json, network
 from millrace.operators import network as net
-from millrace.operators import rebuild, stats
+from millrace.operators import cut, rebuild, stats
 from millrace.sources import documents
 
 
@@ -132,3 +133,14 @@ def test_values_are_rewritten_inside_their_rows(spark, monkeypatch):
     assert "hunter22" not in str(redacted) and "AKIA" not in str(redacted) and redacted[0].count("[REDACTED token]") == 1 and redacted[0].count("[REDACTED password]") == 1
     monkeypatch.setattr(rebuild, "LEVELS", 1)
     assert read(rebuild.redact(df, ["id"], "v")) == redacted
+
+
+def test_written_steps_leave_no_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    shuffled = lambda: {f.name for d in folders for f in Path(str(d)).glob("*/shuffle_*")}
+    steps = lambda: set(cut.names_in(spark, cut.shared_folder(spark)))
+    before, had = shuffled(), steps()
+    step = cut.written(spark.range(5000).groupBy(F.col("id") % 999).count())
+    assert shuffled() <= before and len(steps() - had) == 1 and step.count() == 999 and spark.conf.get(cut.CLEANUP) == "false"
+    cut.removed(step)
+    assert steps() == had
