@@ -17,6 +17,7 @@ spanning forest of them, never the pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, written, written_parts
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -34,6 +35,7 @@ SEED = 12
 TILE_ROWS = 2048
 TILE_BYTES = 8 << 20  # of vectors in a tile, at most
 PIVOTS = 1024  # at most
+ROUND_BYTES = 512 << 20  # of tiles that one round of tile pairs ships, or twice the tiles if that is more
 PAIR_BLOCK = 1 << 15  # pairs computed exactly at once
 _ROUNDING = 1e-4  # far above the rounding of float32 products of unit vectors
 
@@ -189,11 +191,12 @@ def _dealer(pivots: dict[int, np.ndarray]):
     return deal
 
 
-def cosine_links(distinct: DataFrame, threshold: float = THRESHOLD, sigmas: float = SIGMAS, seed: int = SEED, tile_rows: int = TILE_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def cosine_links(distinct: DataFrame, threshold: float = THRESHOLD, sigmas: float = SIGMAS, seed: int = SEED, tile_rows: int = TILE_ROWS, pivots: int = PIVOTS, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """Rows (node, other, n) over distinct vectors (dim, node, n, vector), n being how often a vector occurs.
 
     With `other` null: n links of the node counted by one tile pair, copies as often as they occur.
-    With `n` null: a link of a spanning forest; all of them connect what the links connect.
+    With `n` null: a link of a spanning forest; all of them connect what the links connect. Tile pairs are
+    compared in rounds, so that the disk holds the shipped tiles of one round and not of all pairs.
     """
     size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
     wanted = max(1, min(pivots, (size["n"] or 0) // tile_rows))
@@ -219,14 +222,22 @@ def cosine_links(distinct: DataFrame, threshold: float = THRESHOLD, sigmas: floa
     met = met.where(F.col("apart") <= F.col("cell_radius") + F.col("other_radius") + F.lit(float(np.arccos(threshold)) + 1e-6))
     met = met.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("cell_chunks") - 1)))
     met = met.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.col("other_chunks") - 1)))
-    met = met.where("cell < other OR chunk <= other_chunk").select("dim", "cell", "chunk", "other", "other_chunk")
+    met = written(met.where("cell < other OR chunk <= other_chunk").select("dim", "cell", "chunk", "other", "other_chunk"))
     side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in _BLOBS]
     left = tiles.select("dim", "cell", "chunk", *side("a"))
     right = tiles.select("dim", F.col("cell").alias("other"), F.col("chunk").alias("other_chunk"), *side("b"))
     same = F.expr("cell = other AND chunk = other_chunk").alias("same")
-    pairs = met.join(left, ["dim", "cell", "chunk"]).join(right, ["dim", "other", "other_chunk"])
-    pairs = pairs.select("dim", same, *[f"{k}_{c}" for k in "ab" for c in _BLOBS])
-    return pairs.mapInArrow(partial(_compare, threshold=threshold, sigmas=sigmas, seed=seed), "node long, other long, n long")
+
+    def compared(some: DataFrame) -> DataFrame:
+        pairs = some.join(left, ["dim", "cell", "chunk"]).join(right, ["dim", "other", "other_chunk"])
+        pairs = pairs.select("dim", same, *[f"{k}_{c}" for k in "ab" for c in _BLOBS])
+        return pairs.mapInArrow(partial(_compare, threshold=threshold, sigmas=sigmas, seed=seed), "node long, other long, n long")
+
+    data = (size["n"] or 0) * (8 * (size["dim"] or 0) + 40)  # of all tiles, about; their pairs ship two tiles each
+    count = cells.agg(F.sum("chunks")).first()[0] or 1
+    rounds = max(1, math.ceil(met.count() * 2 * data / count / max(round_bytes, 2 * data, 1)))
+    turn = F.pmod(F.xxhash64(*met.columns), F.lit(rounds))
+    return written_parts(compared(met.where(turn == n)) for n in range(rounds)) if rounds > 1 else compared(met)
 
 
 def near_vectors(
